@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .points import code_points
+from .points import code_points, pieces
 
 PASSAGE, STEP = 64, 32
 K1, B = 1.2, 0.5
@@ -297,7 +297,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_w
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix, answers = shared.value
-            for b in batches:
+            for b in pieces(batches, "text"):
                 cp, at = code_points(b.column("text"))
                 word, row = words(cp, at)
                 got = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .points import code_points
+from .points import code_points, pieces
 
 SYMBOLS = 512
 MARGIN = 6.0
@@ -120,7 +120,7 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-        for b in batches:
+        for b in pieces(batches, "text"):
             cp, at = code_points(b.column(0))
             if len(cp) < 2:
                 continue
@@ -253,7 +253,7 @@ def repair(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
         lp = shared.value
         scorer = Scorer(lp, margin, doc_margin)
         flat = lp.reshape(-1)
-        for b in batches:
+        for b in pieces(batches, "text"):
             cp, at = code_points(b.column("text"))
             got = []
             if len(cp) > 1:

@@ -8,7 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charforms, leakage, mojibake, tokenize
+from . import charforms, consensus, leakage, mojibake, setjoin, tokenize
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.survivors(table(spark, d, "merge_groups"), table(spark, d, "papers"), table(spark, d, "paper_sources"))
+
+
+def p1_merged(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.merged_records(table(spark, d, "merge_groups"), table(spark, d, "papers"), table(spark, d, "paper_sources"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_pairs(setjoin.bibliographic_sets(table(spark, d, "papers"), table(spark, d, "build_inputs")))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.class_links(setjoin.bibliographic_sets(table(spark, d, "papers"), table(spark, d, "build_inputs")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
