@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charforms, consensus, leakage, mojibake, setjoin, tokenize
+from . import charforms, consensus, leakage, mojibake, retrieval, setjoin, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.class_links(setjoin.bibliographic_sets(table(spark, d, "papers"), table(spark, d, "build_inputs")))
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.matches(table(spark, d, "repository_items"), table(spark, d, "papers"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("record_id", "item_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return charforms.affected_fields(table(spark, d, "papers"))
 
