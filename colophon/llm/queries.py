@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import charforms, consensus, leakage, mojibake, retrieval, setjoin, tokenize
+from . import charforms, consensus, leakage, mojibake, names, retrieval, setjoin, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_merged(spark: SparkSession, d: str) -> DataFrame:
     return consensus.merged_records(table(spark, d, "merge_groups"), table(spark, d, "papers"), table(spark, d, "paper_sources"))
 
 
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return names.clusters(table(spark, d, "papers"), table(spark, d, "crossref_authors"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "papers"), table(spark, d, "crossref_authors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.similar_pairs(setjoin.bibliographic_sets(table(spark, d, "papers"), table(spark, d, "build_inputs")))
 
