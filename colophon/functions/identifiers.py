@@ -10,9 +10,12 @@ from .core import WS, blank_to_null, col, js_trim, let
 DOI_BODY = r"10\.\d{4,9}/[-._;()/:a-z0-9<>+\[\]]+"
 
 
-def normalize_doi(c: Column | str) -> Column:
-    """Bare lower-case DOI, or NULL when the value isn't one."""
-    v = js_trim(col(c))
+# A value of this shape is changed by nothing but lower-casing.
+_PLAIN = r"\A10\.\d{4,9}/[-._;()/:a-zA-Z0-9<>+\[\]]*[-_(/a-zA-Z0-9<+\[]\z"
+
+
+def _full_doi(value: Column) -> Column:
+    v = js_trim(value)
     v = js_trim(F.regexp_replace(F.regexp_replace(v, r"^[<(\[{\"']+", ""), ">+$", ""))
     v = F.regexp_replace(v, r"(?i)^(?:https?://(?:dx\.|www\.)?|(?:dx\.)?)doi\.org/", "")
     v = F.regexp_replace(v, "(?i)^info:doi/", "")
@@ -29,6 +32,11 @@ def normalize_doi(c: Column | str) -> Column:
     return let(v, lambda x: F.when(F.regexp_like(x, F.lit(rf"\A{DOI_BODY}\z")), x))
 
 
+def normalize_doi(c: Column | str) -> Column:
+    """Bare lower-case DOI, or NULL when the value isn't one."""
+    return let(col(c), lambda x: F.when(F.regexp_like(x, F.lit(_PLAIN)), F.lower(x)).otherwise(_full_doi(x)))
+
+
 def is_valid_doi(c: Column | str) -> Column:
     return normalize_doi(c).isNotNull()
 

@@ -107,11 +107,19 @@ def _decode_once(c: Column) -> Column:
     return _decode_numeric(c)
 
 
+def _drop_tags(v: Column) -> Column:
+    return F.when(F.contains(v, F.lit("<")), F.regexp_replace(v, "<[^>]*>", " ")).otherwise(v)
+
+
 def strip_markup(c: Column | str) -> Column:
-    """Tags become blanks, entities are decoded up to three times, tags so revealed go too, white space collapses."""
-    bare = F.regexp_replace(col(c), "<[^>]*>", " ")
-    decoded = let(bare, lambda v: F.when(F.contains(v, F.lit("&")), _decode_once(_decode_once(_decode_once(v)))).otherwise(v))
-    return collapse(F.regexp_replace(decoded, "<[^>]*>", " "))
+    """Tags become blanks, entities are decoded up to three times, tags so revealed go too, white space collapses.
+
+    Each step is guarded by a plain search, because most values hold neither tags nor entities."""
+
+    def decode(v: Column) -> Column:
+        return F.when(F.contains(v, F.lit("&")), let(_decode_once(_decode_once(_decode_once(v))), _drop_tags)).otherwise(v)
+
+    return collapse(let(let(col(c), _drop_tags), decode))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -132,14 +140,27 @@ def without_stop_words(normalized: Column) -> Column:
     return let(normalized, body)
 
 
+def is_ascii(v: Column) -> Column:
+    return F.octet_length(v) == F.length(v)
+
+
 def normalize_stripped(stripped: Column, keep_hyphens: bool = True) -> Column:
-    v = F.lower(fold_accents(stripped))
-    for greek, latin in GREEK.items():
-        v = F.replace(v, F.lit(greek), F.lit(latin))
+    """Folding only runs where there is something to fold."""
+
+    def spelled(v: Column) -> Column:
+        v = F.lower(fold_accents(v))
+        for greek, latin in GREEK.items():
+            v = F.replace(v, F.lit(greek), F.lit(latin))
+        return v
+
+    def joined(v: Column) -> Column:
+        return F.when(F.contains(v, F.lit("-")), F.regexp_replace(v, "(^| )-+|-+($| )", "$1$2")).otherwise(v)
+
+    v = let(stripped, lambda x: F.when(is_ascii(x), F.lower(x)).otherwise(spelled(x)))
     v = F.regexp_replace(v, "[^a-z0-9-]+" if keep_hyphens else "[^a-z0-9]+", " ")
     if keep_hyphens:
-        v = F.regexp_replace(v, "(^| )-+|-+($| )", "$1$2")
-    return F.trim(F.regexp_replace(v, " +", " "))
+        v = let(v, joined)
+    return F.trim(let(v, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x)))
 
 
 def normalize_title(c: Column | str, remove_stop_words: bool = False, keep_hyphens: bool = True) -> Column:
