@@ -1 +1 @@
-
+"""Whole queries: identification, discovery, related work, responses."""

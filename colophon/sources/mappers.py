@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.authors import clean_authors
-from ..functions.core import blank_to_null, collapse, js_trim, let
+from ..functions.core import blank_to_null, js_trim, let
 from ..functions.identifiers import normalize_arxiv_id, normalize_doi, normalize_openalex_id, trailing_id
 from ..functions.text import clean_text, clean_year, normalize_keywords
 from ..functions.urls import looks_like_pdf, sanitize_external_link
@@ -360,6 +360,3 @@ def scan(payloads: DataFrame, source: str, year: int = 2026) -> DataFrame:
         return XML_SOURCES[source][2](xml_rows(payloads, source), year)
     return JSON_SOURCES[source][2](payload_rows(payloads, source), year)
 
-
-def tidy(c: Column) -> Column:
-    return collapse(c)
