@@ -75,7 +75,8 @@ def retry_after_ms(header: Column, now: Column) -> Column:
     secs = F.when(F.regexp_like(h, F.lit(r"^\d+(?:\.\d+)?$")), h.try_cast("double") * 1000.0)
     date = F.try_to_timestamp(F.regexp_replace(h, r"^[A-Za-z]{3}, (.*) GMT$", "$1"), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = (F.unix_micros(date) - F.unix_micros(now)).cast("double") / 1000.0
-    return F.coalesce(F.least(secs, F.lit(float(DAY_MS))), F.greatest(F.lit(0.0), F.least(wait, F.lit(float(DAY_MS)))))
+    clamp = lambda v: F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(v, F.lit(float(DAY_MS)))))
+    return F.coalesce(clamp(secs), clamp(wait))
 
 
 def backoff_ms(attempt: Column, base_ms: int, most_ms: int, jitter: Column | None = None) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 def minute_counts(log: DataFrame, by: str, ts: str = "ts", seconds: int = 60) -> DataFrame:
     """Requests of the last minute, the present one included."""
-    us = F.unix_micros(ts)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(by).orderBy(us).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return log.withColumn("in_minute", F.count("*").over(w))
 

@@ -17,6 +17,7 @@ from ..operators.fulltext import back_fill, resolve_full_text
 from ..operators.matching import acceptable, evaluate, select_best
 from ..operators.prepare import is_discovery, prefixed, prepare_papers, prepare_queries
 from ..operators.ranking import discovery_order, rank_distinct_titles, rank_similar, same_paper, similarity_columns, within_years
+from ..session import cut
 from ..sources.registry import NAMES, ROLES
 
 TIERS = ("primary", "fallback", "extended")
@@ -77,14 +78,12 @@ def lookup(asked: DataFrame, records: DataFrame, share: float) -> DataFrame:
 
 def retrieve(queries: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
     """(query_id, tier, variant_pos, ordinal, rank, seq): every candidate in the order of arrival, limited per query, variant and source."""
-    names = {v: k for k, v in NAMES.items()}
     tier_of, ordinal_of = {}, {}
     caps = {"primary": config.max_primary, "fallback": config.max_fallback, "extended": config.max_extended}
     for t, role in enumerate(TIERS):
         for o, key in enumerate(ROLES[role][: caps[role]]):
             tier_of[NAMES[key]], ordinal_of[NAMES[key]] = t, o
     pick = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("source"))
-    assert names
     recs = papers.select(F.col(seq).alias("rid"), "source", "n_doi", "n_tokens", "n_words", "n_authors").withColumn("tier", pick(tier_of)).withColumn("ordinal", pick(ordinal_of)).where("tier is not null")
     v = variants(queries, config.results_per_source)
     by_doi = v.where("label = 'doi'").join(recs.select("rid", "tier", "ordinal", F.col("n_doi").alias("v_doi")), "v_doi").select("query_id", "variant_pos", "limit", "tier", "ordinal", "rid", F.lit(1).alias("hits"))
@@ -151,8 +150,8 @@ def related_candidates(mains: DataFrame, papers: DataFrame, config: EngineConfig
 
 def find_similar(mains: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
     """The most similar papers of each main paper. mains: prepared paper columns, query_id, from_year, to_year."""
-    ready, mains = similarity_columns(papers), similarity_columns(mains)
-    pairs = related_candidates(mains, papers, config, seq)
+    pairs = cut(related_candidates(mains, papers, config, seq))
+    ready, mains = similarity_columns(papers), cut(similarity_columns(mains))
     m = prefixed(mains, "m_", ("query_id", "from_year", "to_year"))
     c = prefixed(ready, "c_").withColumn("seq", F.col(f"c_{seq}"))
     return rank_similar(pairs.join(m, "query_id").join(c, "seq"), ["query_id"], config.max_similar, config)
@@ -188,15 +187,15 @@ def search(queries: DataFrame, papers: DataFrame, locations: DataFrame | None =
     """One response per query: the identified paper with its full text, similar or discovered papers, notes.
 
     papers holds the paper schema and ``seq``; deduplicate it first if sources overlap. locations: seq column, resolver order ``seq``, FULLTEXT."""
-    q = prepare_queries(queries, config.as_of_year)
-    p = prepare_papers(papers)
-    arrivals = retrieve(q, p, config, seq)
-    scored = score_candidates(arrivals, q, p, config, seq)
-    main = identify(scored, arrivals, config)
+    # each stage is written once, so no later one repeats it and plans stay small
+    q, p = cut(prepare_queries(queries, config.as_of_year)), cut(prepare_papers(papers))
+    arrivals = cut(retrieve(q, p, config, seq))
+    scored = cut(score_candidates(arrivals, q, p, config, seq))
+    main = cut(identify(scored, arrivals, config))
     found = main.join(p.drop("match_type", "confidence").withColumn("seq", F.col(seq)), "seq")
     if locations is None:
         locations = p.sparkSession.createDataFrame([], f"{seq} bigint, seq int, source string, available boolean, url string, type string, access_type string, license string")
-    full = back_fill(resolve_full_text(found.drop("seq"), locations, seq))
+    full = cut(back_fill(resolve_full_text(found.drop("seq"), locations, seq)))
     similar = find_similar(full.join(q.select("query_id", "from_year", "to_year"), "query_id"), p, config, seq)
     hits = similar.select("query_id", "rank", F.col(f"c_{seq}").alias("hit"), F.col("c_title").alias("hit_title"), F.col("similarity").alias("score"))
     found_by_words = discover(scored, config).select("query_id", "rank", F.col(f"c_{seq}").alias("hit"), F.col("c_title").alias("hit_title"), F.col("final_score").alias("score"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions.authors import clean_authors
 from ..functions.core import blank_to_null, js_trim, let
@@ -314,25 +315,24 @@ XML_SOURCES = {"pubmed": (PUBMED, "PubmedArticle", map_pubmed), "arxiv": (ARXIV,
 def payload_rows(payloads: DataFrame, source: str, column: str = "payload") -> DataFrame:
     """Rows of raw JSON responses; a payload that can't be parsed gives none (see ``bad_payloads``)."""
     schema, path, _ = JSON_SOURCES[source]
-    row = f"struct<{_as_struct(schema)}>"
     names = path.split(".")
+    kind = ArrayType(_struct(schema))
     if source == "datacite":
-        shape = f"struct<data:array<struct<attributes:{row}>>>"
+        shape = StructType([StructField("data", ArrayType(StructType([StructField("attributes", kind.elementType)])))])
         items = F.transform(F.from_json(column, shape)["data"], lambda d: d["attributes"])
     else:
-        shape = f"array<{row}>"
         for n in reversed(names):
-            shape = f"struct<{n}:{shape}>"
-        items = F.from_json(column, shape)
+            kind = StructType([StructField(n, kind)])
+        items = F.from_json(column, kind)
         for n in names:
             items = items[n]
     return payloads.select(F.explode(items).alias("row")).select("row.*")
 
 
-def _as_struct(schema: str) -> str:
+def _struct(schema: str) -> StructType:
     from pyspark.sql.types import _parse_datatype_string
 
-    return _parse_datatype_string(schema).simpleString()[len("struct<") : -1]
+    return _parse_datatype_string(schema)
 
 
 def bad_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -40,7 +40,7 @@ def admit_stream(requests: DataFrame, per_second: float, at_once: int, per_minut
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["source", "ts_ms", "admitted", "wait_ms"])
 
-    keyed = requests.select("source", (F.unix_micros("ts") / 1000.0).alias("ts_ms"))
+    keyed = requests.select("source", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("ts_ms"))
     return keyed.groupBy("source").applyInPandasWithState(
         step, "source string, ts_ms double, admitted boolean, wait_ms double", "tokens double, last double, cool double, minute array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
@@ -68,7 +68,7 @@ def breaker_stream(outcomes: DataFrame, threshold: int = 5, cooldown_ms: float =
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["source", "ts_ms", "allowed", "state"])
 
-    keyed = outcomes.select("source", (F.unix_micros("ts") / 1000.0).alias("ts_ms"), "failed")
+    keyed = outcomes.select("source", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("ts_ms"), "failed")
     return keyed.groupBy("source").applyInPandasWithState(
         step, "source string, ts_ms double, allowed boolean, state string", "state string, failures int, opened double, probes int, trips int", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
