@@ -140,8 +140,12 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return model(counts.reshape(SYMBOLS, SYMBOLS))
 
 
-def model(counts: np.ndarray, strength: float = 20.0) -> np.ndarray:
-    """Pairs interpolated with single symbols, single symbols with a uniform floor."""
+def model(counts: np.ndarray, strength: float = 20.0, discount: float = 4.0) -> np.ndarray:
+    """Pairs interpolated with single symbols, single symbols with a uniform floor. Pairs beyond ASCII are discounted,
+    so that what a few damaged records hold doesn't count as seen in a small corpus."""
+    counts = counts.copy()
+    counts[128:, :] = np.maximum(counts[128:, :] - discount, 0)
+    counts[:128, 128:] = np.maximum(counts[:128, 128:] - discount, 0)
     single = counts.sum(0)
     p = (single + 0.02) / (single.sum() + 0.02 * SYMBOLS)
     return np.log((counts + strength * p) / (counts.sum(1, keepdims=True) + strength)).astype(np.float32)
