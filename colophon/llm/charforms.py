@@ -285,9 +285,10 @@ def normalize_strings(arr: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return res.cast(pa.string()), affected
 
 
-def canonical_forms(rows: DataFrame, id_col: str = "record_id", title: str = "title", authors: str = "authors") -> DataFrame:
-    """(id, title, authors, title_affected, authors_affected), one row per input row, without a shuffle."""
-    data = rows.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.col(authors).alias("authors"))
+def canonical_forms(rows: DataFrame, id_col: str = "record_id", title: str = "title", authors: str = "authors", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, title, authors, title_affected, authors_affected, keep...), one row per input row, without a shuffle."""
+    data = rows.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.col(authors).alias("authors"), *keep)
+    kept = "".join(f", {c} {data.schema[c].dataType.simpleString()}" for c in keep)
     id_type = data.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,11 +306,11 @@ def canonical_forms(rows: DataFrame, id_col: str = "record_id", title: str = "ti
             if lists.null_count:
                 new_lists = pa.compute.if_else(valid, new_lists, pa.scalar(None, new_lists.type))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), new_title, new_lists, pa.array(t_bad), pa.array(a_bad)],
-                names=["id", "title", "authors", "title_affected", "authors_affected"],
+                [b.column("id"), new_title, new_lists, pa.array(t_bad), pa.array(a_bad), *[b.column(c) for c in keep]],
+                names=["id", "title", "authors", "title_affected", "authors_affected", *keep],
             )
 
-    out = f"id {id_type}, title string, authors array<string>, title_affected boolean, authors_affected boolean"
+    out = f"id {id_type}, title string, authors array<string>, title_affected boolean, authors_affected boolean" + kept
     return data.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
