@@ -5,9 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
@@ -37,26 +34,3 @@ def value(spark):
         return spark.range(1).select(f(*[F.lit(a) for a in args]).alias("v")).first().v
 
     return run
-
-
-def papers(spark, rows):
-    """Paper rows with defaults for everything that isn't given."""
-    from colophon.schemas import PAPER
-
-    base = dict.fromkeys(x.split(" ")[0] for x in _fields(PAPER))
-    base |= {"authors": [], "source": "Crossref", "match_type": "keyword", "confidence": 0.0}
-    schema = "record_id bigint, " + PAPER
-    names = ["record_id", *base]
-    return spark.createDataFrame([tuple({**base, "record_id": n + 1, **r}[c] for c in names) for n, r in enumerate(rows)], schema)
-
-
-def _fields(schema):
-    depth, cur = 0, ""
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            yield cur.strip()
-            cur = ""
-        else:
-            cur += ch
-    yield cur.strip()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from colophon import registry
 from colophon.plans import engine
 from colophon.streaming.traffic import breaker_stream, status_windows
-from conftest import SF, papers
+from helpers import SF, papers
 
 
 def test_search_identifies_and_lists(spark):

@@ -5,7 +5,7 @@ from colophon.operators import dedup, fulltext, ranking, status, traffic, valida
 from colophon.operators.components import connected_components
 from colophon.operators.matching import evaluate
 from colophon.operators.prepare import prefixed, prepare_papers, prepare_queries
-from conftest import papers
+from helpers import papers
 
 
 def scored(spark, q, rows):
@@ -71,7 +71,7 @@ def test_merge_fields(spark):
 
 
 def test_dedup_is_idempotent(spark):
-    from conftest import SF
+    from helpers import SF
 
     once = dedup.deduplicate(spark.read.parquet(f"{SF}/papers.parquet"))
     again = dedup.deduplicate(once.withColumnRenamed("first_seq", "record_id"))
@@ -81,7 +81,7 @@ def test_dedup_is_idempotent(spark):
 def test_fuzzy_pairs_equal_brute_force(spark):
     from colophon.functions import similarity as S
     from colophon.functions import text as T
-    from conftest import SF
+    from helpers import SF
 
     t = spark.read.parquet(f"{SF}/papers.parquet").select(T.normalize_title("title").alias("n_title")).where("n_title <> ''").distinct()
     more = t.select(F.concat("n_title", F.lit(" s")).alias("n_title"))
