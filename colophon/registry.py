@@ -56,7 +56,7 @@ def t04_strip_markup(s, d):
 
 
 @query(f"SELECT record_id, CASE WHEN t <> '' THEN t END AS title FROM (SELECT record_id, {O.strip_markup('title')} AS t FROM papers)")
-def p02_clean_text(s, d):
+def proj02_clean_text(s, d):
     return table(s, d, "papers").select("record_id", T.clean_text("title").alias("title"))
 
 
@@ -236,7 +236,7 @@ def t24_year_hint(s, d):
     "WITH x AS (SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y') || CASE WHEN o_orderkey % 3 = 0 THEN ' (revised)' ELSE '' END AS t FROM orders), y AS (SELECT o_orderkey, try_cast(nullif(regexp_extract(t, '(?:1[5-9]\\d{2}|20\\d{2}|21\\d{2})', 0), '') AS INT) AS y FROM x) "
     f"SELECT o_orderkey, CASE WHEN y BETWEEN 1500 AND {YEAR + 2} THEN y END AS year FROM y"
 )
-def p04_year(s, d):
+def proj04_year(s, d):
     o = table(s, d, "orders")
     text = F.concat(F.date_format("o_orderdate", "dd MMM yyyy"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(" (revised)")).otherwise(F.lit("")))
     return o.select("o_orderkey", T.clean_year(text, YEAR).alias("year"))
@@ -275,7 +275,7 @@ def t35_cache_key(s, d):
     f"SELECT record_id, coalesce('doi:' || {O.normalize_doi('doi')}, 'pmcid:' || nullif(pmcid, ''), 'pmid:' || nullif(pmid, ''), 'arxiv:' || nullif(arxiv_id, ''), "
     "(CASE lower(source) WHEN 'semantic scholar' THEN 's2' WHEN 'pubmed central' THEN 'pmid' ELSE replace(lower(source), ' ', '') END) || ':' || nullif(source_id, '')) AS paper_id FROM papers"
 )
-def p17_paper_id(s, d):
+def proj17_paper_id(s, d):
     return table(s, d, "papers").select("record_id", I.paper_id("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id").alias("paper_id"))
 
 
@@ -509,7 +509,7 @@ _FULL = (
 
 
 @query(f"SELECT record_id, {_FULL} FROM papers")
-def p15_full_text(s, d):
+def proj15_full_text(s, d):
     x = table(s, d, "papers").select("record_id", fulltext.derive_full_text().alias("f"))
     return x.select("record_id", "f.type", "f.access_type", "f.available", "f.url")
 
@@ -804,14 +804,14 @@ def s13_traffic_policy(s, d):
 @query(
     f"WITH x AS (SELECT input_id, {O.strip_markup('title')} AS title, {O.normalize_doi('doi')} AS doi, year, CASE WHEN citation_count >= 0 THEN citation_count END AS citation_count FROM build_inputs) SELECT * FROM x WHERE title <> ''"
 )
-def p01_build_paper(s, d):
+def proj01_build_paper(s, d):
     b = table(s, d, "build_inputs")
     x = mappers.build_paper(b, "batch", keep=("input_id",), title=F.col("title"), doi=I.normalize_doi("doi"), year=F.col("year"), source_id=F.col("source_id"), citation_count=F.col("citation_count"), topics=T.normalize_keywords("topics"))
     return x.select("input_id", "title", "doi", "year", "citation_count")
 
 
 @query()
-def p11_crossref_scan(s, d):
+def proj11_crossref_scan(s, d):
     """Crossref's records turned into raw payloads and mapped back through the connector."""
     a = table(s, d, "crossref_authors").groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("author_position", "author_row_id", "given", "family", "name"))), lambda x: F.struct(x["given"], x["family"], x["name"])).alias("author"))
     p = table(s, d, "papers").where("source = 'Crossref'").join(a, "record_id", "left")
