@@ -67,7 +67,14 @@ def normalize_arxiv_id(c: Column | str) -> Column:
 
 
 def normalize_openalex_id(c: Column | str) -> Column:
-    return blank_to_null(F.upper(F.regexp_extract(col(c), r"(?i)(?:^|/)(w\d{4,12})$", 1)))
+    """W-id in upper case, bare or from a URL; ids of the other schemes that works may carry stay as they are."""
+
+    def body(v: Column) -> Column:
+        bare = blank_to_null(F.regexp_extract(v, r"(?i)^(?:.*openalex\.org/)?(w\d{4,12})", 1))
+        whole = F.regexp_like(v, F.lit(r"(?i)^w\d{4,12}$")) | F.regexp_like(v, F.lit(r"(?i)openalex\.org/w\d{4,12}"))
+        return F.when(whole, F.upper(bare)).when(F.regexp_like(v, F.lit("(?i)^(?:pmid|pmcid|doi|mag):")), v)
+
+    return let(js_trim(col(c)), body)
 
 
 def trailing_id(c: Column | str) -> Column:
@@ -89,15 +96,14 @@ def identity_keys(doi, pmcid, pmid, arxiv_id, source, source_id) -> Column:
     )
 
 
+# Sources whose own ids are public ids.
+SOURCE_SCHEMES = {"Semantic Scholar": "s2", "OpenAlex": "openalex", "CORE": "core", "DOAJ": "doaj"}
+
+
 def paper_id(doi, pmcid, pmid, arxiv_id, source, source_id) -> Column:
     """<scheme>:<value> of the strongest identifier."""
     some = lambda c: blank_to_null(col(c))
-    scheme = (
-        F.when(F.lower(col(source)) == "semantic scholar", F.lit("s2"))
-        .when(F.lower(col(source)) == "pubmed central", F.lit("pmid"))
-        .when(F.lower(col(source)) == "arxiv", F.lit("arxiv"))
-        .otherwise(F.regexp_replace(F.lower(col(source)), " ", ""))
-    )
+    scheme = F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_SCHEMES.items() for x in kv]), col(source))
     return F.coalesce(
         F.concat(F.lit("doi:"), normalize_doi(doi)),
         F.concat(F.lit("pmcid:"), some(pmcid)),

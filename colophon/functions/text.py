@@ -234,7 +234,7 @@ def clean_year(c: Column | str, as_of_year: int) -> Column:
 
 def sanitize_text(c: Column | str) -> Column:
     """Control, zero-width and BOM characters become blanks; white space collapses."""
-    return collapse(F.regexp_replace(col(c), "[\\u0000-\\u001f\\u007f\\u200b-\\u200f\\u2028\\u2029\\u2060\\ufeff]", " "))
+    return collapse(F.regexp_replace(col(c), "[\\u0000-\\u0008\\u000b\\u000c\\u000e-\\u001f\\u007f-\\u009f\\u200b-\\u200f\\u2028\\u2029\\ufeff]", " "))
 
 
 def looks_distinctive(normalized: Column) -> Column:

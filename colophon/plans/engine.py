@@ -54,8 +54,11 @@ def similarity_query(title: Column, keywords: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 400)
 
 
-def lookup(asked: DataFrame, records: DataFrame, share: float) -> DataFrame:
-    """asked: aid, terms; records: rid, terms (sets). -> (aid, rid, hits) sharing at least ``share`` of the asked terms."""
+def lookup(asked: DataFrame, records: DataFrame, share: float = 0.0, least: int = 1) -> DataFrame:
+    """asked: aid, terms; records: rid, terms (sets). -> (aid, rid, hits) sharing at least ``share`` of the asked terms, and ``least`` terms.
+
+    Terms are looked up rarest first, and only as many as a sufficient overlap cannot avoid."""
+    need = lambda n: F.greatest(F.lit(least), F.ceil(F.lit(share) * n - 1e-9))
     post = records.select("rid", F.explode("terms").alias("t"))
     want = asked.select("aid", F.explode("terms").alias("t"))
     df = post.join(want.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
@@ -63,15 +66,14 @@ def lookup(asked: DataFrame, records: DataFrame, share: float) -> DataFrame:
     ranked = want.join(df, "t", "left").select(
         "aid", "t", F.coalesce("df", F.lit(0)).alias("df"), F.count("*").over(n).alias("n"), F.row_number().over(n.orderBy(F.coalesce("df", F.lit(0)), "t")).alias("k")
     )
-    least = F.ceil(F.lit(share) * F.col("n") - 1e-9)
-    keys = ranked.where((F.col("k") <= F.col("n") - least + 1) & (F.col("df") > 0))
+    keys = ranked.where((F.col("k") <= F.col("n") - need(F.col("n")) + 1) & (F.col("df") > 0))
     found = keys.select("aid", "t").join(post, "t").select("aid", "rid").distinct()
     hits = F.size(F.array_intersect("a_terms", "r_terms"))
     return (
         found.join(asked.select("aid", F.col("terms").alias("a_terms")), "aid")
         .join(records.select("rid", F.col("terms").alias("r_terms")), "rid")
         .select("aid", "rid", hits.alias("hits"), F.size("a_terms").alias("asked"))
-        .where(F.col("hits") >= F.ceil(F.lit(share) * F.col("asked") - 1e-9))
+        .where(F.col("hits") >= need(F.col("asked")))
         .drop("asked")
     )
 
@@ -142,7 +144,8 @@ def related_candidates(mains: DataFrame, papers: DataFrame, config: EngineConfig
     mine = m.select("query_id", F.explode("reference_ids").alias("ref"))
     cited = mine.join(papers.select(F.col(seq).alias("seq"), F.col("doi").alias("ref")), "ref").select("query_id", "seq")
     citing = m.select("query_id", F.col("doi").alias("ref")).where("ref is not null").join(refs, "ref").select("query_id", "seq")
-    coupled = mine.distinct().join(refs.distinct(), "ref").groupBy("query_id", "seq").agg(F.count("*").alias("n")).where("n >= 3").select("query_id", "seq")
+    some = lambda df, key, name: df.where("reference_ids is not null").select(F.col(key).alias(name), F.array_distinct("reference_ids").alias("terms"))
+    coupled = lookup(some(m, "query_id", "aid"), some(papers, seq, "rid"), least=3).select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"))
     titled = lookup(m.select(F.col("query_id").alias("aid"), F.col("n_tokens").alias("terms")).where(F.size("terms") > 0), papers.select(F.col(seq).alias("rid"), F.col("n_tokens").alias("terms")), 0.5)
     titled = titled.select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"))
     return cited.unionByName(citing).unionByName(coupled).unionByName(titled).distinct()

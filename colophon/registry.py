@@ -261,7 +261,7 @@ def t32_identity_keys(s, d):
     return table(s, d, "papers").select("record_id", F.array_join(I.identity_keys("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id"), " ").alias("keys"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f\\x{200b}-\\x{200f}\\x{2028}\\x{2029}\\x{2060}\\x{feff}]', ' ', 'g'), '[\\x20\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS text FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}\\x{200b}-\\x{200f}\\x{2028}\\x{2029}\\x{feff}]', ' ', 'g'), '[\\x20\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS text FROM documents")
 def t33_sanitize(s, d):
     return table(s, d, "documents").select("doc_id", T.sanitize_text("text").alias("text"))
 
@@ -273,7 +273,7 @@ def t35_cache_key(s, d):
 
 @query(
     f"SELECT record_id, coalesce('doi:' || {O.normalize_doi('doi')}, 'pmcid:' || nullif(pmcid, ''), 'pmid:' || nullif(pmid, ''), 'arxiv:' || nullif(arxiv_id, ''), "
-    "(CASE lower(source) WHEN 'semantic scholar' THEN 's2' WHEN 'pubmed central' THEN 'pmid' ELSE replace(lower(source), ' ', '') END) || ':' || nullif(source_id, '')) AS paper_id FROM papers"
+    "(CASE source WHEN 'Semantic Scholar' THEN 's2' WHEN 'OpenAlex' THEN 'openalex' WHEN 'CORE' THEN 'core' WHEN 'DOAJ' THEN 'doaj' END) || ':' || nullif(source_id, '')) AS paper_id FROM papers"
 )
 def proj17_paper_id(s, d):
     return table(s, d, "papers").select("record_id", I.paper_id("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id").alias("paper_id"))
@@ -430,17 +430,16 @@ def j08_citations(s, d):
 
 
 @query(
-    f"WITH r AS (SELECT DISTINCT input_id, {O.normalize_doi('ref')} AS doi FROM (SELECT input_id, unnest(reference_ids) AS ref FROM build_inputs)), f AS (SELECT doi FROM r WHERE doi IS NOT NULL GROUP BY doi HAVING count(*) <= 0.05 * (SELECT count(*) FROM build_inputs)), k AS (SELECT r.* FROM r JOIN f USING (doi)) "
+    f"WITH k AS (SELECT DISTINCT input_id, {O.normalize_doi('ref')} AS doi FROM (SELECT input_id, unnest(reference_ids) AS ref FROM build_inputs)) "
     "SELECT a.input_id AS id_a, b.input_id AS id_b, count(*) AS shared FROM k a JOIN k b ON a.doi = b.doi AND a.input_id < b.input_id GROUP BY ALL HAVING count(*) >= 3"
 )
 def j09_coupling(s, d):
-    """Inputs that cite three of the same works; works that a twentieth of all inputs cite tell nothing and stand outside."""
+    """Inputs that cite three of the same works. A pair shares one of all but the two most cited works of either side, so the
+    hottest references are never joined on."""
     b = table(s, d, "build_inputs")
-    refs = b.select("input_id", F.explode("reference_ids").alias("r")).select("input_id", I.normalize_doi("r").alias("k")).where("k is not null").distinct()
-    common = F.lit(0.05 * b.count())
-    telling = refs.join(refs.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("k"), "k")
-    x, y = (telling.select("k", F.col("input_id").alias(f"id_{n}")) for n in "ab")
-    return x.join(y, "k").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("shared")).where("shared >= 3")
+    sets = cut(b.select("input_id", F.array_distinct(F.array_compact(F.transform("reference_ids", I.normalize_doi))).alias("terms")).where(F.size("terms") >= 3))
+    x = engine.lookup(sets.withColumnRenamed("input_id", "aid"), sets.withColumnRenamed("input_id", "rid"), least=3)
+    return x.where("aid < rid").select(F.col("aid").alias("id_a"), F.col("rid").alias("id_b"), F.col("hits").cast("bigint").alias("shared"))
 
 
 # Groups, merges, aggregates ----------------------------------------------------------------------------------

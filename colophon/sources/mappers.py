@@ -56,7 +56,8 @@ DATACITE = (
     "doi string, titles array<struct<title:string>>, creators array<struct<name:string,givenName:string,familyName:string>>, publisher string, publicationYear int, "
     "descriptions array<struct<description:string,descriptionType:string>>, subjects array<struct<subject:string>>, types struct<resourceTypeGeneral:string,resourceType:string,citeproc:string>, url string, contentUrl array<string>"
 )
-UNPAYWALL = "doi string, is_oa boolean, best_oa_location struct<url:string,url_for_pdf:string,url_for_landing_page:string,host_type:string,license:string>"
+_LOCATION = "struct<url:string,url_for_pdf:string,url_for_landing_page:string,host_type:string,license:string>"
+UNPAYWALL = f"doi string, is_oa boolean, best_oa_location {_LOCATION}, oa_locations array<{_LOCATION}>"
 PUBMED = (
     "MedlineCitation struct<PMID:string,Article:struct<Journal:struct<Title:string,ISOAbbreviation:string,JournalIssue:struct<PubDate:struct<Year:string,MedlineDate:string>>>,ArticleTitle:string,"
     "Abstract:struct<AbstractText:array<struct<_VALUE:string,_Label:string>>>,AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,Initials:string,CollectiveName:string>>>,ArticleDate:struct<Year:string>>,"
@@ -293,14 +294,16 @@ def map_arxiv(rows: DataFrame, year: int = 2026) -> DataFrame:
 
 
 def map_unpaywall(rows: DataFrame) -> DataFrame:
-    """(doi, FULLTEXT): the open location of a DOI; none for closed works."""
-    b = lambda n: F.col(f"best_oa_location.{n}")
-    pdf, page = sanitize_external_link(b("url_for_pdf")), sanitize_external_link(F.coalesce(b("url_for_landing_page"), b("url")))
-    access = F.when(b("host_type") == "repository", "repository").otherwise("open-access")
-    x = rows.where("is_oa and best_oa_location is not null").select(normalize_doi("doi").alias("doi"), pdf.alias("pdf"), page.alias("page"), access.alias("access_type"), b("license").alias("license"))
-    return x.where("coalesce(pdf, page) is not null").select(
-        "doi", F.lit("Unpaywall").alias("source"), F.lit(True).alias("available"), F.coalesce("pdf", "page").alias("url"), F.when(F.col("pdf").isNotNull(), "pdf").otherwise("html").alias("type"), "access_type", "license"
-    )
+    """(doi, FULLTEXT): the open location of a DOI, the first with a PDF, else the first with a page; none for closed works."""
+    places = F.array_compact(F.concat(F.array("best_oa_location"), _arr("oa_locations")))
+    pdf = first_where(places, lambda p: sanitize_external_link(p["url_for_pdf"]).isNotNull())
+    page = first_where(places, lambda p: F.coalesce(sanitize_external_link(p["url_for_landing_page"]), sanitize_external_link(p["url"])).isNotNull())
+    x = rows.where("is_oa").select(normalize_doi("doi").alias("doi"), pdf.alias("pdf"), page.alias("page")).withColumn("at", F.coalesce("pdf", "page")).where("at is not null")
+    link = F.coalesce(sanitize_external_link("pdf.url_for_pdf"), sanitize_external_link("at.url_for_landing_page"), sanitize_external_link("at.url"))
+    return x.select(
+        "doi", F.lit("Unpaywall").alias("source"), F.lit(True).alias("available"), link.alias("url"), F.when(F.col("pdf").isNotNull(), "pdf").otherwise("html").alias("type"),
+        F.when(F.col("at.host_type") == "repository", "repository").otherwise("open-access").alias("access_type"), F.col("at.license").alias("license"),
+    )
 
 
 # key -> (schema of a raw row, where the rows lie in the payload, mapping)

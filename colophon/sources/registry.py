@@ -18,7 +18,7 @@ ROLES = {
     "fallback": ("crossref", "openalex"),
     "extended": ("europepmc", "datacite"),
     "similar": ("semanticScholar", "openalex", "europepmc", "arxiv", "core"),
-    "fulltext": ("unpaywall", "europepmc", "doaj", "pubmed", "arxiv", "openalex", "core", "semanticScholar"),
+    "fulltext": ("europepmc", "unpaywall", "openalex", "pubmed", "core", "semanticScholar"),
 }
 # Requests per second, per minute, at once, retries; without and with a key.
 LIMITS = {
@@ -31,7 +31,7 @@ ID_SCHEMES = {
     "pmid": ("pubmed",), "pmcid": ("pubmed",), "arxiv": ("arxiv", "semanticScholar"), "s2": ("semanticScholar",), "openalex": ("openalex",), "core": ("core",), "doaj": ("doaj",),
     "doi": ("doaj", "pubmed", "core", "arxiv", "semanticScholar", "crossref", "openalex", "europepmc", "datacite"),
 }
-PLACEHOLDER_EMAIL = r"(?i)@(?:example\.(?:com|org|net)|localhost|test\.)|^(?:you|your|user|name|test)@"
+PLACEHOLDER_EMAIL = r"(?i)@(?:example|test|localhost|invalid|sample)\.|^(?:you|your|me|test|qa|noreply)@"
 
 
 def is_placeholder_email(c: Column) -> Column:

@@ -75,3 +75,12 @@ def test_registry_and_live(spark):
     assert live.allowed("https://api.crossref.org/works") and not live.allowed("http://api.crossref.org/") and not live.allowed("https://evil.example/")
     assert live.fetch("https://evil.example/") == (None, "blocked")
     assert live.wait_ms(3, 500, 2000) == 2000 and live.wait_ms(0, 500, 2000, 900) == 900
+
+
+def test_unpaywall(spark):
+    rows = [
+        ("10.1234/A", True, ("https://x.org/p", None, None, "publisher", None), [("https://r.org/p", "https://r.org/p.pdf", None, "repository", "cc-by")]),
+        ("10.1234/b", True, ("http://10.0.0.1/p", None, "https://y.org/l", "publisher", None), None), ("10.1234/c", False, None, None), ("10.1234/d", True, None, []),
+    ]
+    got = {r.doi: (r.url, r.type, r.access_type, r.license) for r in mappers.map_unpaywall(spark.createDataFrame(rows, mappers.UNPAYWALL)).collect()}
+    assert got == {"10.1234/a": ("https://r.org/p.pdf", "pdf", "repository", "cc-by"), "10.1234/b": ("https://y.org/l", "html", "open-access", None)}
