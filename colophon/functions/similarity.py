@@ -76,28 +76,24 @@ def title_similarity(a: Column, b: Column, tokens_a: Column | None = None, token
 
 
 def term_counts(terms: Column) -> Column:
-    """Map term -> count of a bag: one sort, then run lengths, so the cost isn't quadratic."""
-    runs = F.aggregate(
-        F.array_sort(terms),
-        F.struct(F.array().cast("array<string>").alias("t"), F.array().cast("array<int>").alias("n"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("k")),
-        lambda acc, x: F.when(acc["last"].eqNullSafe(x), F.struct(acc["t"].alias("t"), acc["n"].alias("n"), acc["last"].alias("last"), (acc["k"] + 1).alias("k"))).otherwise(
-            F.struct(
-                F.when(acc["k"] > 0, F.concat(acc["t"], F.array(acc["last"]))).otherwise(acc["t"]).alias("t"),
-                F.when(acc["k"] > 0, F.concat(acc["n"], F.array(acc["k"]))).otherwise(acc["n"]).alias("n"),
-                x.alias("last"), F.lit(1).alias("k"),
-            )
-        ),
-        lambda acc: F.when(acc["k"] > 0, F.map_from_arrays(F.concat(acc["t"], F.array(acc["last"])), F.concat(acc["n"], F.array(acc["k"])))).otherwise(
-            F.create_map().cast("map<string,int>")
-        ),
-    )
-    return runs
+    """Map term -> count of a bag: in the sorted bag a term's count is the distance to the next term."""
+
+    def runs(s: Column) -> Column:
+        def count(d: Column) -> Column:
+            at = F.transform(d, lambda t: F.array_position(s, t))
+            ends = let(at, lambda p: F.transform(p, lambda x, i: (F.coalesce(F.try_element_at(p, (i + 2).cast("int")), (F.size(s) + 1).cast("bigint")) - x).cast("int")))
+            return F.map_from_arrays(d, ends)
+
+        return let(F.array_distinct(s), count)
+
+    return let(F.array_sort(F.array_compact(terms)), runs)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Of two term-count maps; 0 if either is empty."""
+    """Of two term-count maps; 0 if either is empty. Only common terms are looked up."""
     norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"].cast("double") * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0)).cast("double"))
+    common = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    dot = F.aggregate(common, F.lit(0.0), lambda s, k: s + F.try_element_at(a, k).cast("double") * F.try_element_at(b, k).cast("double"))
     empty = (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0)
     return F.when(empty, F.lit(0.0)).otherwise(clamp01(dot / (norm(a) * norm(b))))
 

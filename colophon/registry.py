@@ -217,11 +217,14 @@ def t21_title_similarity(s, d):
     f"SELECT x AS record_a, y AS record_b, {O.round_score('s / (m.l * n.l)')} AS cosine FROM dot JOIN nn m ON m.record_id = x JOIN nn n ON n.record_id = y"
 )
 def t22_cosine(s, d):
-    """Abstracts of records with one DOI."""
-    p = table(s, d, "papers").select("record_id", I.normalize_doi("doi").alias("k"), S.term_counts(T.term_list("abstract")).alias("v")).where("k is not null and size(v) > 0")
-    a, b = (p.select("k", F.col("record_id").alias(f"record_{n}"), F.col("v").alias(f"v{n}")) for n in "ab")
-    x = a.join(b, "k").where("record_a < record_b").select("record_a", "record_b", round_score(S.cosine(F.col("va"), F.col("vb"))).alias("cosine"))
-    return x.where("cosine > 0")
+    """Abstracts of records with one DOI. Terms of a bag are joined, so a pair costs its common terms only."""
+    p = table(s, d, "papers").select("record_id", I.normalize_doi("doi").alias("k"), T.term_list("abstract").alias("t")).where("k is not null and size(t) > 0")
+    tf = cut(p.select("record_id", "k", F.explode("t").alias("t")).groupBy("record_id", "k", "t").agg(F.count("*").cast("double").alias("c")))
+    norm = tf.groupBy("record_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("l"))
+    a, b = (tf.select("k", "t", F.col("record_id").alias(f"record_{n}"), F.col("c").alias(f"c{n}")) for n in "ab")
+    dot = a.join(b, ["k", "t"]).where("record_a < record_b").groupBy("record_a", "record_b").agg(F.sum(F.col("ca") * F.col("cb")).alias("s"))
+    x = dot.join(norm.withColumnsRenamed({"record_id": "record_a", "l": "la"}), "record_a").join(norm.withColumnsRenamed({"record_id": "record_b", "l": "lb"}), "record_b")
+    return x.select("record_a", "record_b", round_score(F.col("s") / (F.col("la") * F.col("lb"))).alias("cosine"))
 
 
 @query(
