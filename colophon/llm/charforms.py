@@ -11,7 +11,7 @@ A text is *affected* when it holds
   * blanks other than the ASCII one (the ideographic blank is ordinary next to CJK text),
   * full-width letters and digits; full-width punctuation where the text has no CJK character,
   * compatibility letters (ligatures, letter-like signs, script g, Roman numeral signs), look-alike hyphens,
-  * combining marks that have a precomposed form with their base,
+  * combining marks (of any script, and conjoining jamo) that have a precomposed form with their base,
   * letters of another script inside a word, or standing for a whole word although nothing else
     in the text is of that script, where each looks like a letter of the text's own script.
 Typographic quotes, long dashes, ellipses, superscripts, markup and double blanks are ordinary.
@@ -126,12 +126,18 @@ def tables():
             extra_at[cp] = len(extra)
             extra += [ord(x) for x in text[1:]]
     compose = {}
-    for cp in range(0xC0, 0x2000):
+    for cp in range(0xC0, _SIZE):
         d = unicodedata.decomposition(chr(cp))
         if d and not d.startswith("<") and " " in d:
             base, mark = (int(x, 16) for x in d.split())
             if unicodedata.normalize("NFC", chr(base) + chr(mark)) == chr(cp):
                 compose[(base << 17) | mark] = cp
+    for cp in range(0xAC00, 0xD7A4):  # Hangul syllables decompose by rule, not by table
+        n, tail = divmod(cp - 0xAC00, 28)
+        base, mark = (cp - tail, 0x11A7 + tail) if tail else (0x1100 + n // 21, 0x1161 + n % 21)
+        compose[(base << 17) | mark] = cp
+    second = np.zeros(_SIZE, bool)
+    second[[k & (_SIZE - 1) for k in compose]] = True
     keys = np.array(sorted(compose), np.uint64)
     values = np.array([compose[int(k)] for k in keys], np.uint32)
     to_latin, to_cyr, to_greek = (np.arange(_SIZE, dtype=np.uint32) for _ in range(3))
@@ -141,7 +147,7 @@ def tables():
         to_cyr[ord(k)] = ord(v)
     for k, v in LATIN_LIKE_GREEK.items():
         to_greek[ord(k)] = ord(v)
-    return dict(flag=flag, script=script, alike=alike, first=first, length=length, extra_at=extra_at, extra=np.array(extra or [0], np.uint32), keys=keys, values=values, to_latin=to_latin, to_cyr=to_cyr, to_greek=to_greek)
+    return dict(flag=flag, script=script, alike=alike, first=first, length=length, extra_at=extra_at, extra=np.array(extra or [0], np.uint32), second=second, keys=keys, values=values, to_latin=to_latin, to_cyr=to_cyr, to_greek=to_greek)
 
 
 def _per_row(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -159,7 +165,7 @@ def _compose(cp: np.ndarray, row: np.ndarray, t: dict) -> tuple[np.ndarray, np.n
     changed = np.empty(0, row.dtype)
     while len(cp) > 1:
         safe = np.minimum(cp, _SIZE - 1)
-        at = np.flatnonzero((t["flag"][safe[1:]] == MARK) & (row[1:] == row[:-1])) + 1
+        at = np.flatnonzero(t["second"][safe[1:]] & (row[1:] == row[:-1])) + 1
         if not len(at):
             break
         key = (cp[at - 1].astype(np.uint64) << np.uint64(17)) | cp[at].astype(np.uint64)

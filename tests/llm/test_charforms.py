@@ -30,6 +30,19 @@ def test_composition_equals_nfc():
     assert out.to_pylist() == [unicodedata.normalize("NFC", w) for w in words]
 
 
+def test_composition_equals_nfc_in_every_script(spark):
+    kana = "湖における季節変化か\u3099ハ\u309aターンて\u3099あり、水温："
+    words = [kana, unicodedata.normalize("NFD", "한국어 값 가"), *(w for c in range(0xC0, C._SIZE) if (w := unicodedata.normalize("NFD", chr(c))) != chr(c) and unicodedata.normalize("NFC", w) == chr(c))]
+    out, affected = C.normalize_strings(pa.array(words))
+    assert out.to_pylist()[:2] == [unicodedata.normalize("NFC", w) for w in words[:2]] and bool(affected[0]) and bool(affected[1])
+    # the long s is a compatibility letter and becomes an s first
+    assert [(w, o) for w, o in zip(words[2:], out.to_pylist()[2:]) if o != unicodedata.normalize("NFC", w)] == [("ſ\u0307", "ṡ")]
+    composed, touched = C.normalize_strings(pa.array([unicodedata.normalize("NFC", w) for w in words[:2]]))
+    assert not any(touched) and composed.to_pylist() == [unicodedata.normalize("NFC", w) for w in words[:2]]
+    t = spark.createDataFrame([(1, kana, ["x"]), (2, unicodedata.normalize("NFC", kana), ["テ\u3099"])], "record_id bigint, title string, authors array<string>")
+    assert {tuple(r) for r in C.affected_fields(t).collect()} == {(1, "title"), (2, "authors")}
+
+
 def test_tables(spark):
     rows = [(1, "Ａ", ["x", None, "o​k"], 5), (2, None, None, 5), (3, "", [], 5), (4, "ok", ["fine"], 5), (5, "y" * 100_000 + " ", ["fine"], 5)]
     t = spark.createDataFrame(rows, "record_id bigint, title string, authors array<string>, field int")
