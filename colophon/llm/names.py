@@ -6,7 +6,8 @@
 2. Blocks: the phonetic code of each distinctive token, and the codes with one letter left out together with the
    first letter of another token. A typing error (letter added, lost, changed, or two swapped) keeps
    one of these codes; blocks hold a handful of forms however large the table is. Tokens with very many
-   partners (given names) make no block of their own; forms of nothing else block by all tokens.
+   partners (given names, and surnames of many people) make no block of their own; forms of nothing else block by all
+   tokens and by each token with another's first letter, and those with initials or a nickname ask for other forms by such keys.
 3. Pairs of a block are compared token by token: equal, nickname of each other, or - once per pair -
    Jaro-Winkler above ``JARO`` and at most two edits; a token may stand for an initial.
 4. Clusters: connected components over pairs of complete forms. A form with initials or a surname only joins a
@@ -114,22 +115,41 @@ def phonetic(token: str) -> str:
     return out
 
 
+def _others(form: tuple[str, ...], token: str) -> set[str]:
+    """First letters of the form's tokens beside this one; of a nickname also those of what it stands for."""
+    others = {t[0] for t in form if t[-1] == "."}
+    for o in form:
+        if o != token and o[-1] != ".":
+            others.update(x[0] for x in _NICK.get(o, (o,)))
+            others.add(o[0])
+    return others
+
+
+def initial_keys(form: tuple[str, ...], common: frozenset[str] | set[str]) -> tuple[bool, set[str]]:
+    """(asks, keys): common tokens with another token's first letter. A form of common tokens with initials or a nickname asks for
+    the forms that have a token of their own; those don't meet each other here, for such blocks would be large."""
+    long = [t for t in form if t[-1] != "."]
+    plain = [t for t in long if (t in common or t in _NICK) and t not in _ORG_WORDS]
+    asks = len(plain) == len(long)
+    if asks and len(long) == len(form) and not any(t in _NICK for t in long):
+        return asks, set()
+    return asks, {f"{t}|{o}" for t in plain for o in _others(form, t)}
+
+
 def block_keys(form: tuple[str, ...], common: frozenset[str] | set[str]) -> set[tuple[str, str | None]]:
     """(key, code): two forms meet under a key unless both have the same code there, for then they meet elsewhere."""
     long = [t for t in form if t[-1] != "."]
     own = [t for t in long if t not in common and t not in _NICK and t not in _ORG_WORDS]
     if not own:
         code = "".join(phonetic(t) for t in sorted(long))
-        return {("a" + code, None), *(("e" + phonetic(code[:k] + code[k + 1 :]), code) for k in range(len(code))), ("e" + code, code)}
-    keys: set[tuple[str, str | None]] = set()
-    for t in own:
+        keys: set[tuple[str, str | None]] = {("a" + code, None), *(("e" + phonetic(code[:k] + code[k + 1 :]), code) for k in range(len(code))), ("e" + code, code)}
+    else:
+        keys = {("k" + phonetic(t), None) for t in own}
+    for t in own or [t for t in long if t not in _ORG_WORDS]:
         code = phonetic(t)
-        keys.add(("k" + code, None))
-        others = {t[0] for t in form if t[-1] == "."}
-        for o in long:
-            if o != t:
-                others.update(x[0] for x in _NICK.get(o, (o,)))
-        for o in others:
+        for o in _others(form, t):
+            if not own:
+                keys.add((f"c{code}|{o}", None))
             keys.add((f"d{code}|{o}", code))
             keys.update((f"d{phonetic(t[:k] + t[k + 1 :])}|{o}", code) for k in range(len(t)))
     return keys
@@ -188,11 +208,12 @@ def agree(a: tuple[str, ...], b: tuple[str, ...], common, jaro: float = JARO) ->
     ia, ib = [t[0] for t in a if t[-1] == "."], [t[0] for t in b if t[-1] == "."]
     rest_b = list(lb)
     rest_a = []
-    shared = 0
+    shared, telling = 0, False
     for t in la:
         if t in rest_b:
             rest_b.remove(t)
             shared += 1
+            telling |= t not in common and t not in _NICK
         else:
             rest_a.append(t)
     for t in list(rest_a):
@@ -220,6 +241,7 @@ def agree(a: tuple[str, ...], b: tuple[str, ...], common, jaro: float = JARO) ->
                 shared += 0
             else:
                 shared += 1
+                telling = True
         if rest_a and rest_b:
             return 0
     for rest, own, other in ((rest_a, ia, ib), (rest_b, ib, ia)):
@@ -240,8 +262,9 @@ def agree(a: tuple[str, ...], b: tuple[str, ...], common, jaro: float = JARO) ->
         return 0
     if not shared:
         return 0
-    if not any(t not in common and t not in _NICK for t in la):
-        return 0 if a != b else level
+    # common tokens count only where nothing of either form is left over
+    if not telling and sorted(ia) != sorted(ib):
+        return 0
     if level == 2 and (len(la) < 2 or len(lb) < 2):
         level = 1
     return level
@@ -296,7 +319,21 @@ def links(form: DataFrame) -> DataFrame:
 
     rows = form.mapInArrow(keys, "key bigint, code int, id bigint, form string")
     a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("code", "id", "form")]) for s in "ab")
-    near = a.join(b, "key").where("id_a < id_b and (code_a is null or code_a <> code_b)")
+    near = a.join(b, "key").where("id_a < id_b and (code_a is null or code_a <> code_b)").select("id_a", "form_a", "id_b", "form_b")
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            out = []
+            for i, text in zip(b.column("id").to_pylist(), b.column("form").to_pylist()):
+                asks, found = initial_keys(tuple(text.split(" ")), common.value)
+                out += [(xxhash.xxh64_intdigest(k) - (1 << 63), asks, i, text) for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.string()))], names=["key", "asks", "id", "form"])
+
+    asked = form.mapInArrow(asking, "key bigint, asks boolean, id bigint, form string")
+    a, b = (asked.where(c).select("key", F.col("id").alias(f"id_{s}"), F.col("form").alias(f"form_{s}")) for s, c in (("a", "asks"), ("b", "not asks")))
+    near = near.unionByName(a.join(b, "key").drop("key"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -312,7 +349,7 @@ def links(form: DataFrame) -> DataFrame:
                     got.append((x, y, level))
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "level"])
 
-    return near.select("id_a", "form_a", "id_b", "form_b").mapInArrow(verify, "a bigint, b bigint, level int").distinct()
+    return near.mapInArrow(verify, "a bigint, b bigint, level int").distinct()
 
 
 def clusters(papers: DataFrame, crossref: DataFrame) -> DataFrame:

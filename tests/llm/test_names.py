@@ -44,3 +44,20 @@ def test_variants(spark):
     want = {frozenset((a, b)) for a in one for b in one if a < b} | {frozenset(("The Alpine Genome Consortium", "Alpine-Genome Cons.")), frozenset(("Mary Kalimero", "Mary​ Kalimero")), frozenset(("Mary Zubrowski", "M. Zubrowsky"))}
     assert got == want
     assert N.variant_pairs(p.limit(0), c.limit(0)).count() == 0
+
+
+def test_common_tokens_count_where_all_tokens_agree():
+    common = {"lijuhenen", "maria", "anna", "mei"}
+    pairs = [("M. Lijuhenen", "Mei Lijuhenen", 1), ("M. Lijuhenen", "Marduk Lijuhenen", 1), ("Bob Lijuhenen", "Robert Lijuhenen", 2), ("Maria Lijuhenan", "Maria Lijuhenen", 2), ("Anna Lijuhenen", "Maria Lijuhenen", 0), ("M. K. Lijuhenen", "Mei Lijuhenen", 0), ("Lijuhenen", "Mei Lijuhenen", 0)]
+    for a, b, level in pairs:
+        x, y = N.parse(a), N.parse(b)
+        assert N.agree(x, y, common) == N.agree(y, x, common) == level, (a, b)
+
+
+def test_spellings_of_a_hot_surname_are_linked(spark):
+    given = "Thanh Hoa|Corvin|Dagny|Elspeth|Fenwick|Gudrun|Hjalmar|Isolde|Jorund|Katrin|Leopold|Norbert|Ottilie|Perpetua|Quirin|Sigrid|Robert|Volkmar".split("|")
+    names = [f"{g} Lijuhenen" for g in given] + ["C. Lijuhenen", "T. H. Lijuhenen", "Bob Lijuhenen", "Lijuhenen, Gudrun"]
+    p = spark.createDataFrame([(k, [n]) for k, n in enumerate(names)], "record_id bigint, authors array<string>")
+    c = spark.createDataFrame([], "name string, given string, family string")
+    got = {tuple(r) for r in N.variant_pairs(p, c).collect()}
+    assert got == {("C. Lijuhenen", "Corvin Lijuhenen"), ("T. H. Lijuhenen", "Thanh Hoa Lijuhenen"), ("Bob Lijuhenen", "Robert Lijuhenen"), ("Gudrun Lijuhenen", "Lijuhenen, Gudrun")}
