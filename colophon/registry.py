@@ -847,7 +847,7 @@ def c07_discover(s, d):
     """Topics of the build inputs as keyword queries: ranked distinct titles."""
     b = table(s, d, "build_inputs").where("topics is not null")
     none = lambda t: F.lit(None).cast(t)
-    q = cut(prepare_queries(b.select(F.col("input_id").alias("query_id"), none("string").alias("title"), none("array<string>").alias("authors"), F.slice("topics", 1, 3).alias("keywords"), none("string").alias("doi"), none("int").alias("from_year"), none("int").alias("to_year")), YEAR))
+    q = cut(prepare_queries(b.select(F.col("input_id").alias("query_id"), none("string").alias("title"), none("array<string>").alias("authors"), F.col("topics").alias("keywords"), none("string").alias("doi"), none("int").alias("from_year"), none("int").alias("to_year")), YEAR))
     p = _prepared(s, d)
     x = engine.discover(engine.score_candidates(cut(engine.retrieve(q, p)), q, p))
     return x.select("query_id", "rank", F.col("seq").alias("record_id"), "match_type", "final_score")

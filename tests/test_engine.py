@@ -37,6 +37,13 @@ def test_variants_order(spark):
     assert [r.label for r in got if r.query_id == 2] == ["authors-only"]
 
 
+def test_discovery_asks_for_all_topics(spark, tmp_path):
+    topics = ["lichens", "glaciers", "moraines", "conformers", "molecules", "attention"]
+    spark.createDataFrame([(1, topics)], "input_id bigint, topics array<string>").write.parquet(str(tmp_path / "build_inputs.parquet"))
+    papers(spark, [{"title": "Attention over conformers of molecules"}, {"title": "Unrelated botany of alpine meadows"}]).write.parquet(str(tmp_path / "papers.parquet"))
+    assert [(r.query_id, r.record_id) for r in registry.c07_discover(spark, str(tmp_path)).collect()] == [(1, 1)]
+
+
 def test_lookup_equals_brute_force(spark):
     asked = [(1, ["a", "b", "c"]), (2, ["z"]), (3, ["a", "q", "r", "s"])]
     recs = [(10, ["a", "b"]), (11, ["c"]), (12, ["a", "q"]), (13, ["z", "y"])]
