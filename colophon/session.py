@@ -28,3 +28,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: written once to shared storage, so later stages never recompute it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a checkpoint that nothing reads any more; where there is none, nothing happens."""
+    from py4j.protocol import Py4JError
+
+    try:
+        at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if at.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    except Py4JError:  # not a checkpoint
+        return
