@@ -379,16 +379,13 @@ def clusters(papers: DataFrame, crossref: DataFrame) -> DataFrame:
     loose = both.join(free.withColumnRenamed("id", "a"), "a", "left_semi").join(part.withColumnRenamed("id", "b"), "b", "left_semi")
     ambiguous = seen.where("low <> high").select(F.col("a").alias("b"))
     loose = loose.join(ambiguous, "b", "left_anti").join(attached.select(F.col("id").alias("b"), "component"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
-    # a loose form with several attached neighbours is ambiguous as well
-    single = loose.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo = hi").select("a", F.col("lo").alias("b"))
-    second = connected_components(single.unionByName(single.select("a", F.col("a").alias("b")))).select(F.col("node").alias("id"), "component")
-    rest = free.join(single.select(F.col("a").alias("id")), "id", "left_anti").unionByName(ambiguous.select(F.col("b").alias("id")).join(second.select("id"), "id", "left_anti"))
-    label = first.unionByName(attached)
-    renamed = second.join(free, "id", "left_semi").join(second.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
-    # the component of a loose group is the cluster it follows, if it follows one
-    anchor = second.join(label.select(F.col("component").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("cluster"), "component").groupBy("component").agg(F.min("cluster").alias("cluster"))
-    loosely = renamed.select("id", "component").join(anchor, "component", "left").select("id", F.coalesce("cluster", "component").alias("component"))
-    label = label.unionByName(loosely).unionByName(rest.select("id", F.col("id").alias("component")))
+    # a loose form with several neighbours is ambiguous as well
+    single = loose.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo = hi").select(F.col("a").alias("id"), F.col("lo").alias("to"))
+    # neighbours are mutual, so two forms that only have each other are a pair; all others follow a form that stands for itself
+    mutual = single.select(F.col("id").alias("to"), F.lit(True).alias("mutual"))
+    follows = single.join(mutual, "to", "left").select("id", F.when(F.col("mutual"), F.least("id", "to")).otherwise(F.col("to")).alias("component"))
+    rest = part.join(attached.select("id"), "id", "left_anti").join(single.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+    label = first.unionByName(attached).unionByName(follows).unionByName(rest)
     label = label.groupBy("id").agg(F.min("component").alias("cluster"))
     return named.join(label, "id").select("name", "cluster")
 
