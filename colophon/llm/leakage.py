@@ -10,15 +10,21 @@ over all items. Each corpus document is read as overlapping passages, each a que
    pairs above the threshold are kept - no top-k, no cap;
 3. kept pairs are verified word by word: chains of matching words along a diagonal, which allow single
    changed or inserted words, must add up to ``min_words`` words of the
-   item's own text, ``min_passage`` of them in one passage. Words of
+   item's own text, ``min_passage`` of them in one passage (or to ``min_scattered`` words in any passages). Words of
    phrases that ``shared_items`` or more items have in common (instructions) don't count.
 
 Only the items are broadcast; their size is checked (``max_index_bytes``), and larger item sets are
-processed in slices of items, each a pass over the corpus. Words are compared without case, accents,
-punctuation and invisible characters.
+processed in slices of items, each a pass over the corpus. What is counted over items - how many hold a term, how many
+share a phrase, how many there are - is counted over all of them by Spark, so results don't depend on slices. Items of equal
+text are one item there and in the index. The threshold is stated in terms that only one item holds, so it
+means the same for one item as for a million. Words are compared without case, accents, punctuation and invisible characters.
+
+The filter between 2 and 3 (``in_sequence``) drops nothing that 3 accepts: ``min_passage`` words in runs of three or more hold at least
+``min_passage`` - ``min_passage`` / 3 neighbouring pairs in the item's order, within the words it looks at.
 
 Results: NULL, empty and blank documents or items match nothing. Repeated documents and repeated items
-are reported each. Empty tables give an empty table.
+are reported each. Empty tables give an empty table. Whether the item's answer stands in the document too is verified and reported;
+it doesn't decide, for a passage of the question alone is a leak.
 """
 
 from __future__ import annotations
@@ -29,17 +35,23 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .points import code_points, pieces
 
 PASSAGE, STEP = 64, 32
 K1, B = 1.2, 0.5
-THRESHOLD = 36.0
+# In weights of a term that a single item holds.
+THRESHOLD = 6.8
 MIN_WORDS = 16
 MIN_PASSAGE = 14
+# Words in sequence that are a leak however short their runs are (marks inserted everywhere).
+MIN_SCATTERED = 26
 SHARED_ITEMS = 3
+# Terms of an item of ordinary length.
+TYPICAL_LENGTH = 150
 BLOCK = 16
 MAX_INDEX_BYTES = 64_000_000
 ITEMS_PER_SLICE = 20_000
@@ -110,27 +122,45 @@ def _pairs(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fives(word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every phrase of five words, position of its first word)."""
+    if len(word) < 5:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        five = sum((word[k : len(word) - 4 + k] * np.uint64(2 * k * k + 6 * k + 1) for k in range(5)), np.zeros(len(word) - 4, np.uint64))
+    at = np.flatnonzero(row[:-4] == row[4:])
+    return five[at], at
+
+
+def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, kind, hash) of what is counted over items: 0 the phrases, 1 the pairs of each text, without repeats."""
+    cp, at = code_points(pa.array(texts, pa.string()))
+    word, row = words(cp, at)
+    five, first = _fives(word, row)
+    pair = _pairs(word, row)
+    some = pair > 0
+    all_rows = np.concatenate([row[first], row[some]])
+    kind = np.repeat([0, 1], [len(first), int(some.sum())])
+    got = np.unique(np.stack([all_rows.astype(np.uint64), kind.astype(np.uint64), np.concatenate([five, pair[some]])]), axis=1)
+    return got[0].astype(np.int64), got[1].astype(np.int64), got[2]
+
+
 class Index:
-    """Inverted index of the items, as arrays only."""
+    """Inverted index of the items, as arrays only. n: different items in all slices; phrases: hashes of the phrases that
+    several of them share; df: number of them that hold a pair (0 where nothing is known)."""
 
-    def __init__(self, ids: list, texts: list[str | None], shared_items: int = SHARED_ITEMS, block: int = BLOCK):
+    def __init__(self, ids: list, texts: list[str | None], n: int, phrases: np.ndarray, df: tuple[np.ndarray, np.ndarray], block: int = BLOCK):
         self.ids = ids
-        n = len(ids)
+        count = len(ids)
         cp, at = code_points(pa.array(texts, pa.string()))
         self.word, self.row = words(cp, at)
-        self.start = np.searchsorted(self.row, np.arange(n + 1))
+        self.start = np.searchsorted(self.row, np.arange(count + 1))
         pair = _pairs(self.word, self.row)
         # words of phrases (five words) that several items share don't count
         own = np.ones(len(self.word), bool)
-        if len(self.word) >= 5:
-            with np.errstate(over="ignore"):
-                five = sum((self.word[k : len(self.word) - 4 + k] * np.uint64(2 * k * k + 6 * k + 1) for k in range(5)), np.zeros(len(self.word) - 4, np.uint64))
-            whole = self.row[:-4] == self.row[4:]
-            uniq, inv = np.unique(five, return_inverse=True)
-            seen = np.unique(np.stack([inv[whole], self.row[:-4][whole]]), axis=1)
-            df = np.bincount(seen[0], minlength=len(uniq))
-            for k in np.flatnonzero(whole & (df[inv] >= shared_items)):
-                own[k : k + 5] = False
+        five, first = _fives(self.word, self.row)
+        for k in first[np.isin(five, phrases)]:
+            own[k : k + 5] = False
         self.own = own
         valid = (pair > 0) & own & np.append(own[1:], False)
         p, r, q = pair[valid], self.row[valid], np.flatnonzero(valid) - self.start[self.row[valid]]
@@ -138,22 +168,25 @@ class Index:
         self.post_item, self.post_pos = r[order].astype(np.int32), q[order].astype(np.int32)
         self.terms, begin = np.unique(p[order], return_index=True)
         self.begin = np.append(begin, len(order)).astype(np.int64)
-        length = np.bincount(r, minlength=n)
-        mean = max(1.0, float(length.sum()) / max(1, int((length > 0).sum())))
+        length = np.bincount(r, minlength=count)
         term_of = np.repeat(np.arange(len(self.terms)), np.diff(self.begin))
-        key = term_of.astype(np.int64) * max(1, n) + self.post_item
+        key = term_of.astype(np.int64) * max(1, count) + self.post_item
         uk, tf = np.unique(key, return_counts=True)
-        self.w_term, self.w_item = (uk // max(1, n)).astype(np.int64), (uk % max(1, n)).astype(np.int32)
-        df = np.bincount(self.w_term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length[self.w_item] / mean)
+        self.w_term, self.w_item = (uk // max(1, count)).astype(np.int64), (uk % max(1, count)).astype(np.int32)
+        known, held = df
+        where = np.minimum(np.searchsorted(known, self.terms), max(0, len(known) - 1))
+        holds = np.where(known[where] == self.terms, held[where], 1) if len(known) else np.ones(len(self.terms))
+        idf = np.log(1 + (n - holds + 0.5) / (holds + 0.5))
+        # the length that BM25 compares with is a fixed one, so an item's weights don't depend on the others' lengths
+        norm = K1 * (1 - B + B * length[self.w_item] / TYPICAL_LENGTH)
+        self.unit = float(np.log(1 + (n - 0.5) / 1.5))
         self.w = (idf[self.w_term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
         self.w_begin = np.searchsorted(self.w_term, np.arange(len(self.terms) + 1))
         self.block = block
-        bk = self.w_term * (n // block + 1) + self.w_item // block
+        bk = self.w_term * (count // block + 1) + self.w_item // block
         ub, bi = np.unique(bk, return_index=True)
         self.b_max = np.maximum.reduceat(self.w, bi) if len(bi) else np.empty(0, np.float32)
-        self.b_term, self.b_block = ub // (n // block + 1), ub % (n // block + 1)
+        self.b_term, self.b_block = ub // (count // block + 1), ub % (count // block + 1)
         self.b_begin = np.searchsorted(self.b_term, np.arange(len(self.terms) + 1))
         self.top = np.maximum.reduceat(self.w, self.w_begin[:-1]) if len(self.terms) else np.empty(0, np.float32)
 
@@ -227,7 +260,7 @@ def candidates(ix: Index, term: np.ndarray, pos: np.ndarray, row: np.ndarray, th
     return in_sequence(ix, np.stack([found // len(ix.ids), found % len(ix.ids)], 1), *hits, least)
 
 
-def overlap(doc: np.ndarray, ix: Index, item: int, least: int = 6, shift: int = 2) -> tuple[int, int]:
+def overlap(doc: np.ndarray, ix: Index, item: int, least: int = 6, shift: int = 3) -> tuple[int, int]:
     """(Words of the item's own text that the document holds in sequence, most in one passage).
 
     Matches are grouped by diagonal (document position less item position) and cut where two or more
@@ -277,23 +310,58 @@ def overlap(doc: np.ndarray, ix: Index, item: int, least: int = 6, shift: int =
     return len(found), most
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE, max_index_bytes: int = MAX_INDEX_BYTES, items_per_slice: int = ITEMS_PER_SLICE) -> DataFrame:
+def distinct_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, text) of every different text of items, and (rep, eval_id, answer) of every item."""
+    member = items.where("eval_id is not null and trim(text) <> ''").select(F.xxhash64("text").alias("rep"), "eval_id", "text", "answer")
+    return member.groupBy("rep").agg(F.min("text").alias("text")), member.drop("text")
+
+
+def statistics(reps: DataFrame, slices: int) -> tuple[int, DataFrame]:
+    """(number of different items; slice, kind, hash, n of what the slice's items hold and more than one item has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, kind, h = counted(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("slice").take(pa.array(text)), pa.array(kind, pa.int32()), pa.array(h.view(np.int64))], names=["slice", "kind", "hash"])
+
+    held = reps.select(slice_of(slices).alias("slice"), "text").mapInArrow(run, "slice int, kind int, hash bigint")
+    per_slice = held.groupBy("slice", "kind", "hash").agg(F.count("*").alias("n"))
+    # a hash stands in at most as many rows as there are slices
+    total = per_slice.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.collect_list("slice").alias("slices")).where("n > 1")
+    return reps.count(), total.select(F.explode("slices").alias("slice"), "kind", "hash", "n")
+
+
+def slice_of(slices: int) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int")
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE, min_scattered: int = MIN_SCATTERED, max_index_bytes: int = MAX_INDEX_BYTES, items_per_slice: int = ITEMS_PER_SLICE) -> DataFrame:
     """(eval_id, doc_id, words, item_words, answer_found): every document with a passage of an item's own text."""
     spark = docs.sparkSession
-    n_items = items.count()
-    slices = max(1, -(-n_items // items_per_slice))
+    reps, member = distinct_items(items)
+    reps = cut(reps)
+    slices = max(1, -(-reps.count() // items_per_slice))
+    n, stats = statistics(reps, slices)
+    stats = cut(stats)
     data = docs.select("doc_id", "text")
     id_type = data.schema["doc_id"].dataType.simpleString()
-    out = f"eval_id bigint, doc_id {id_type}, words int, item_words int, answer_found boolean"
+    out = f"rep bigint, doc_id {id_type}, words int, item_words int, answers array<string>"
+    # of equal items, all answers are looked for; their number per text is that of its copies with different answers
+    answers_of = member.where("trim(answer) <> ''").select("rep", "answer").distinct().groupBy("rep").agg(F.collect_list("answer").alias("answers"))
+    asked = reps.join(answers_of, "rep", "left")
 
     def one(k: int) -> DataFrame:
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("eval_id"), F.lit(slices)) == k)
-        rows = part.select("eval_id", "text", "answer").toArrow().to_pylist()  # at most one slice of items
-        ix = Index([r["eval_id"] for r in rows], [r["text"] for r in rows])
+        rows = asked.where(slice_of(slices) == k).toArrow().to_pylist()  # at most one slice of items
+        known = stats.where(F.col("slice") == k).select("kind", "hash", "n").toArrow()  # at most their phrases and pairs
+        kind, h, held = (known.column(c).to_numpy() for c in ("kind", "hash", "n"))
+        h = h.view(np.uint64)
+        order = np.argsort(h[kind == 1])
+        ix = Index([r["rep"] for r in rows], [r["text"] for r in rows], n, h[(kind == 0) & (held >= SHARED_ITEMS)], (h[kind == 1][order], held[kind == 1][order]))
         if ix.nbytes() > max_index_bytes:
             raise ValueError(f"index of {ix.nbytes()} bytes exceeds the bound; use smaller slices of items")
-        answers = [" ".join((r["answer"] or "").lower().split()) for r in rows]
+        answers = [[(a, " ".join(a.lower().split())) for a in r["answers"] or []] for r in rows]
         shared = spark.sparkContext.broadcast((ix, answers))
+        least = max(3, min(7, min_passage - -(-min_passage // 3)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix, answers = shared.value
@@ -306,16 +374,18 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_w
                     where = np.minimum(np.searchsorted(ix.terms, pair), len(ix.terms) - 1)
                     hit = np.flatnonzero(ix.terms[where] == pair)
                     first = np.searchsorted(row, np.arange(len(at)))
-                    for r, item in candidates(ix, where[hit], hit - first[row[hit]], row[hit], threshold):
-                        n, most = overlap(word[first[r] : first[r + 1]], ix, int(item))
-                        if n >= min_words and most >= min_passage:
+                    for r, item in candidates(ix, where[hit], hit - first[row[hit]], row[hit], threshold * ix.unit, least):
+                        found, most = overlap(word[first[r] : first[r + 1]], ix, int(item))
+                        if (found >= min_words and most >= min_passage) or found >= min_scattered:
                             text = " ".join(b.column("text")[int(r)].as_py().lower().split())
-                            got.append((ix.ids[item], int(r), n, int(ix.own[ix.start[item] : ix.start[item + 1]].sum()), bool(answers[item]) and answers[item] in text))
+                            got.append((ix.ids[item], int(r), found, int(ix.own[ix.start[item] : ix.start[item + 1]].sum()), [a for a, plain in answers[item] if plain in text]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g[0] for g in got], pa.int64()), b.column("doc_id").take(pa.array([g[1] for g in got], pa.int32()))] + [pa.array([g[c] for g in got], t) for c, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.bool_()))],
-                    names=["eval_id", "doc_id", "words", "item_words", "answer_found"],
+                    [pa.array([g[0] for g in got], pa.int64()), b.column("doc_id").take(pa.array([g[1] for g in got], pa.int32()))] + [pa.array([g[c] for g in got], t) for c, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.list_(pa.string())))],
+                    names=["rep", "doc_id", "words", "item_words", "answers"],
                 )
 
         return data.mapInArrow(run, out)
 
-    return reduce(DataFrame.unionByName, [one(k) for k in range(slices)])
+    found = reduce(DataFrame.unionByName, [one(k) for k in range(slices)])
+    said = F.coalesce(F.array_contains("answers", F.col("answer")), F.lit(False))
+    return found.join(member, "rep").select("eval_id", "doc_id", "words", "item_words", said.alias("answer_found"))

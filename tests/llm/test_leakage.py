@@ -10,6 +10,35 @@ def world():
     return rnd, vocab, items
 
 
+def index_of(items):
+    """The index of one slice, with what is counted over all items."""
+    import numpy as np
+
+    text, kind, h = L.counted([i[1] for i in items])
+    seen = {k: np.unique(h[kind == k], return_counts=True) for k in (0, 1)}
+    return L.Index([i[0] for i in items], [i[1] for i in items], len(items), seen[0][0][seen[0][1] >= L.SHARED_ITEMS], seen[1])
+
+
+def frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "eval_id bigint, text string, answer string")
+
+
+def test_slices_and_numbers_of_items_change_nothing(spark):
+    rnd, vocab, items = world()
+    docs = [(e, " ".join([rnd.choice(vocab) for _ in range(30)] + i[1].split(" ")[-30:] + [rnd.choice(vocab) for _ in range(30)])) for e, i in enumerate(items)]
+    # an instruction that six items share is no leak, whatever slices they lie in
+    shared = " ".join(rnd.choice(vocab) for _ in range(30))
+    items = [(e, f"{shared} {t}" if e < 6 else t, a) for e, t, a in items]
+    d, i = frames(spark, [*docs, (500, shared)], items)
+    got = [{(r.eval_id, r.doc_id) for r in L.leaks(d, i, items_per_slice=n).collect()} for n in (100, 15, 3)]
+    assert got[0] == got[1] == got[2] == {(e, e) for e in range(len(docs))}
+    # one item, alone or in eight copies with different answers, finds its copy
+    one = " ".join(rnd.choice(vocab) for _ in range(60))
+    for copies in (1, 8):
+        d, i = frames(spark, [(1, one + " and a word more, then number 3."), (2, "nothing of the kind")], [(k, one, f"number {k}") for k in range(copies)])
+        assert {(r.eval_id, r.doc_id, r.answer_found) for r in L.leaks(d, i).collect()} == {(k, 1, k == 3) for k in range(copies)}
+
+
 def test_planted_passages(spark):
     rnd, vocab, items = world()
     docs, want = [], set()
@@ -43,7 +72,7 @@ def test_pruning_keeps_all_above_threshold():
     from colophon.llm.points import code_points
 
     rnd, vocab, items = world()
-    ix = L.Index([i[0] for i in items], [i[1] for i in items])
+    ix = index_of(items)
     texts = [" ".join((items[k % 40][1].split(" ")[-60:])[10 : 10 + rnd.randint(5, 30)] + [rnd.choice(vocab) for _ in range(100)]) for k in range(60)]
     cp, at = code_points(pa.array(texts))
     word, row = L.words(cp, at)
