@@ -30,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_CHARS = 16_384
 SEGMENT_CHARS = 8_192
+# Segments that are joined in one task before the runs are.
+RUN = 64
 MAX_VOCABULARY_BYTES = 16_000_000
 
 _CACHE: dict[int, object] = {}
@@ -120,7 +122,9 @@ def encode_corpus(
     long_chars: int = LONG_CHARS,
     segment_chars: int = SEGMENT_CHARS,
 ) -> DataFrame:
-    """(id_col, ids array<int>), one row per input row. Ids of repeated long rows must be unique per row."""
+    """(id_col, ids array<int>), one row per input row; rows that repeat an id are encoded each.
+
+    Segments are joined in two levels, runs of ``RUN`` segments first, so the joins of one giant text run in parallel as well."""
     spark = docs.sparkSession
     blob = open(vocabulary, "rb").read()
     if len(blob) > MAX_VOCABULARY_BYTES:
@@ -138,34 +142,34 @@ def encode_corpus(
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in zip(b.column("id"), b.column("text").to_pylist()):
+            for i, n, t in zip(b.column("id"), b.column("row").to_pylist(), b.column("text").to_pylist()):
                 cuts = list(range(0, len(t), segment_chars))
                 for k in range(0, len(cuts), 256):
                     some = cuts[k : k + 256]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i.as_py()] * len(some), b.schema.field("id").type), pa.array([c // segment_chars for c in some], pa.int32()), pa.array([t[c : c + segment_chars] for c in some])],
-                        names=["id", "seg", "text"],
+                        [pa.array([i.as_py()] * len(some), b.schema.field("id").type), pa.array([n] * len(some), pa.int64()), pa.array([c // segment_chars for c in some], pa.int32()), pa.array([t[c : c + segment_chars] for c in some])],
+                        names=["id", "row", "seg", "text"],
                     )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(shared.value)
         for b in batches:
             ids = _list_array([_ids(enc, t) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("seg"), ids], names=["id", "seg", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("seg"), ids], names=["id", "row", "seg", "ids"])
 
     def tree(group: pa.Table) -> pa.Table:
         enc = encoding(shared.value)
         group = group.sort_by("seg").combine_chunks()
         rows = [np.asarray(r.values, dtype=np.int32) for r in group.column("ids")]
-        return pa.table({"id": group.column("id").slice(0, 1), "ids": _list_array([join_all(enc, rows)])})
+        one = {c: group.column(c).slice(0, 1) for c in ("id", "row", "seg")}
+        return pa.table({**one, "ids": _list_array([join_all(enc, rows)])})
 
     out = f"id {id_type}, ids array<int>"
     short = data.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(whole, out)
-    cut = data.where(is_long).mapInArrow(segments, f"id {id_type}, seg int, text string")
-    joined = (
-        cut.repartition("id", "seg")
-        .mapInArrow(parts, f"id {id_type}, seg int, ids array<int>")
-        .groupBy("id")
-        .applyInArrow(tree, out)
-    )
+    # the row tells rows of one id apart; it follows from file and position, so a task that runs again gives the same
+    long = data.where(is_long).withColumn("row", F.monotonically_increasing_id())
+    cut = long.mapInArrow(segments, f"id {id_type}, row bigint, seg int, text string")
+    part = f"id {id_type}, row bigint, seg int, ids array<int>"
+    runs = cut.repartition("id", "row", "seg").mapInArrow(parts, part).groupBy("id", "row", F.expr(f"seg div {RUN}")).applyInArrow(tree, part)
+    joined = runs.groupBy("id", "row").applyInArrow(tree, part).select("id", "ids")
     return short.unionByName(joined).withColumnRenamed("id", id_col)

@@ -40,3 +40,11 @@ def test_corpus(spark, enc):
     assert got == {i: enc.encode_ordinary(t or "") for i, t in rows}
     assert K.encode_corpus(docs.limit(0)).count() == 0
     assert all(isinstance(x, int) for x in got[5][:5]) and np.array(got[5]).max() < 50257
+
+
+def test_rows_that_repeat_an_id_are_encoded_each(spark, enc, monkeypatch):
+    monkeypatch.setattr(K, "RUN", 3)
+    a, b = "one text of words " * 300, "und ein anderer Text " * 250
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (1, "short"), (1, None)], "doc_id bigint, text string").coalesce(1)
+    got = sorted(r.ids for r in K.encode_corpus(docs, long_chars=2000, segment_chars=500).collect())
+    assert got == sorted(enc.encode_ordinary(t) for t in (a, b, a, "short", ""))
