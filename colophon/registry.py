@@ -450,15 +450,14 @@ def j09_coupling(s, d):
 
 @query()
 def g01_dedup(s, d):
-    """Merged records with their members."""
-    x = dedup.deduplicate(table(s, d, "papers"))
-    return x.select("first_seq", F.size("members").alias("n"), F.array_join(F.transform("members", lambda m: m.cast("string")), " ").alias("members"))
+    """The group of every record, named by its first record."""
+    return dedup.assign(table(s, d, "papers")).withColumnRenamed("seq", "record_id")
 
 
 @query()
 def g02_merge(s, d):
     x = dedup.deduplicate(table(s, d, "papers"))
-    return x.select("first_seq", "title", "doi", "year", F.size("authors").alias("n_authors"), F.size("sources").alias("n_sources"), F.size("source_links").alias("n_links"), "citation_count", "pdf_url", F.length("abstract").alias("abstract_length"))
+    return x.select("first_seq", "n_members", "title", "doi", "year", F.size("authors").alias("n_authors"), F.size("sources").alias("n_sources"), F.size("source_links").alias("n_links"), "citation_count", "pdf_url", F.length("abstract").alias("abstract_length"))
 
 
 @query(

@@ -45,7 +45,10 @@ def test_components(spark):
 
 
 def groups(spark, rows):
-    return [tuple(r.members) for r in dedup.deduplicate(papers(spark, rows)).orderBy("first_seq").collect()]
+    got = {}
+    for r in dedup.assign(papers(spark, rows)).orderBy("seq").collect():
+        got.setdefault(r.first_seq, []).append(r.seq)
+    return [tuple(got[k]) for k in sorted(got)]
 
 
 def test_dedup_groups(spark):
@@ -62,12 +65,35 @@ def test_dedup_groups(spark):
     assert dedup.deduplicate(papers(spark, [{"title": "x"}]).limit(0)).count() == 0
 
 
+def test_grouping_equals_a_walk_over_all_records(spark):
+    """Components, certain members and left-out copies change nothing."""
+    from colophon.functions import authors as A
+    from colophon.functions import identifiers as I
+    from colophon.functions import text as T
+    from helpers import SF
+
+    p = spark.read.parquet(f"{SF}/papers.parquet")
+    n = dedup._base(p, "record_id").select(
+        "seq", "year", "doi", "source", I.identity_keys("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id").alias("keys"), T.normalize_title("title").alias("n_title"), T.title_fingerprint("title").alias("n_print"),
+        A.normalize_authors("authors").alias("n_authors"), F.size("authors").alias("n_listed"), F.length("title").alias("length"), dedup._trust(F.col("source")).alias("trust"),
+    )
+    want = dict(dedup.walk([r.asDict(recursive=True) for r in n.orderBy("seq").collect()], frozenset(T.STOP_WORDS)))
+    assert {r.seq: r.first_seq for r in dedup.assign(p).collect()} == want and len(set(want.values())) < len(want)
+
+
 def test_merge_fields(spark):
     a = {"title": "A long enough title of a paper", "doi": "10.1234/x", "source": "CORE", "abstract": "short text", "authors": ["A Doe"], "keywords": ["AI", "x"], "citation_count": 3, "sources": ["CORE"]}
     b = {"title": "A long enough title of a paper", "doi": "10.1234/x", "source": "Crossref", "abstract": "a much longer text than that", "authors": ["Ann Doe"], "keywords": ["ai", "y"], "citation_count": 9, "is_open_access": True, "pdf_url": "https://x.org/a.pdf", "year": 2020}
     r = dedup.deduplicate(papers(spark, [a, b])).first()
     assert (r.abstract, r.authors, r.keywords, r.citation_count, r.is_open_access, r.pdf_url, r.year, r.source) == (b["abstract"], ["Ann Doe"], ["AI", "x", "y"], 9, True, "https://x.org/a.pdf", 2020, "CORE")
-    assert r.sources == ["CORE", "Crossref"]
+    assert r.sources == ["CORE", "Crossref"] and r.n_members == 2
+    # in order: a text takes over from 1.2 times the standing one's length on, lists of equal length yield to trust, titles to longer alike ones
+    same = {"doi": "10.1234/x", "title": "A long enough title of a paper"}
+    rows = [{**same, "abstract": "x" * 10, "authors": ["A", "B"], "source": "DOAJ", "citation_count": None}, {**same, "abstract": "y" * 12}, {**same, "abstract": "z" * 13, "authors": ["C", "D"], "citation_count": -4, "similarity_score": float("nan")},
+            {**same, "abstract": "w" * 15, "authors": ["E", "F"], "title": "<i>A long enough title of a paper</i>", "source": "OpenAlex", "similarity_score": 0.4, "is_open_access": False}]
+    r = dedup.deduplicate(papers(spark, rows)).first()
+    assert (r.abstract, r.authors, r.citation_count, r.similarity_score, r.title, r.is_open_access, r.source) == ("z" * 13, ["E", "F"], 0, 0.4, rows[3]["title"], False, "DOAJ")
+    assert r.source_links == [] and r.keywords is None and r.sources == ["DOAJ", "Crossref", "OpenAlex"]
 
 
 def test_dedup_is_idempotent(spark):
