@@ -136,34 +136,76 @@ def discover(scored: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
 
 
 def related_candidates(mains: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
-    """(query_id, seq): records that cite, are cited by or cite three of the same works as a main paper, or share half of its title words.
+    """(query_id, seq, strength): records that cite or are cited by a main paper, or cite three of the same works (strength: how many).
 
     mains and papers are prepared; mains also hold query_id."""
-    m = mains.select("query_id", F.col(seq).alias("mid"), "doi", "reference_ids", "n_tokens")
+    m = mains.select("query_id", F.col(seq).alias("mid"), "doi", "reference_ids")
     refs = papers.select(F.col(seq).alias("seq"), F.explode("reference_ids").alias("ref"))
     mine = m.select("query_id", F.explode("reference_ids").alias("ref"))
-    cited = mine.join(papers.select(F.col(seq).alias("seq"), F.col("doi").alias("ref")), "ref").select("query_id", "seq")
-    citing = m.select("query_id", F.col("doi").alias("ref")).where("ref is not null").join(refs, "ref").select("query_id", "seq")
+    direct = F.lit(1_000_000).alias("strength")
+    cited = mine.join(papers.select(F.col(seq).alias("seq"), F.col("doi").alias("ref")), "ref").select("query_id", "seq", direct)
+    citing = m.select("query_id", F.col("doi").alias("ref")).where("ref is not null").join(refs, "ref").select("query_id", "seq", direct)
     some = lambda df, key, name: df.where("reference_ids is not null").select(F.col(key).alias(name), F.array_distinct("reference_ids").alias("terms"))
-    coupled = lookup(some(m, "query_id", "aid"), some(papers, seq, "rid"), least=3).select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"))
-    titled = lookup(m.select(F.col("query_id").alias("aid"), F.col("n_tokens").alias("terms")).where(F.size("terms") > 0), papers.select(F.col(seq).alias("rid"), F.col("n_tokens").alias("terms")), 0.5)
-    titled = titled.select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"))
-    return cited.unionByName(citing).unionByName(coupled).unionByName(titled).distinct()
+    coupled = lookup(some(m, "query_id", "aid"), some(papers, seq, "rid"), least=3).select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"), F.col("hits").alias("strength"))
+    return cited.unionByName(citing).unionByName(coupled).groupBy("query_id", "seq").agg(F.max("strength").alias("strength"))
 
 
-def find_similar(mains: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
-    """The most similar papers of each main paper. mains: prepared paper columns, query_id, from_year, to_year."""
-    pairs = cut(related_candidates(mains, papers, config, seq))
-    ready, mains = similarity_columns(papers), cut(similarity_columns(mains))
-    m = prefixed(mains, "m_", ("query_id", "from_year", "to_year"))
-    c = prefixed(ready, "c_").withColumn("seq", F.col(f"c_{seq}"))
-    return rank_similar(pairs.join(m, "query_id").join(c, "seq"), ["query_id"], config.max_similar, config)
+SAME = ("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id", "n_bare")
+SCORED = (*SAME, "n_title", "n_tokens", "n_grams", "n_print", "n_venue", "abstract", "keywords", "topics", "reference_ids", "year", "pdf_url", "citation_count")
 
 
-def usable_counts(pairs: DataFrame) -> DataFrame:
-    """(query_id, usable): distinct DOI or lower-case title of candidates other than the main paper."""
+def _asked(found: DataFrame, by: DataFrame, sides: DataFrame, order: list[Column], most: int, seq: str) -> DataFrame:
+    """found: query_id, seq, ... -> the first ``most`` of each source that isn't the main paper itself: query_id, ordinal, place, seq, key."""
+    c = sides.select(F.col(seq).alias("seq"), "ordinal", F.coalesce("doi", F.lower("title")).alias("key"), *[F.col(n).alias(f"c_{n}") for n in SAME]).where("ordinal is not null")
+    pairs = found.join(c, "seq").join(by.select("query_id", *[F.col(n).alias(f"m_{n}") for n in SAME]), "query_id")
     other = pairs.where(~F.coalesce(same_paper("m_", "c_"), F.lit(False)))
-    return other.groupBy("query_id").agg(F.countDistinct(F.coalesce("c_doi", F.lower("c_title"))).alias("usable"))
+    w = Window.partitionBy("query_id", "ordinal").orderBy(*order, "seq")
+    return other.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query_id", "ordinal", "place", "seq", "key")
+
+
+def similar_pool(mains: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
+    """(query_id, seq): candidates of each main paper. The sources for similar papers are asked in order for related records, at most twice
+    the target each, until the pool is full. Where less than ``min_similar`` usable ones came, a search by title words tops up,
+    source by source, until the pool is full or one and a half times the target is usable."""
+    order = {NAMES[k]: n for n, k in enumerate(ROLES["similar"])}
+    sides = papers.withColumn("ordinal", F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("source")))
+    most = min(2 * config.max_similar, 40)
+    related = _asked(related_candidates(mains, sides.where("ordinal is not null"), config, seq), mains, sides, [F.col("strength").desc()], most, seq)
+    related = cut(related)
+    counts = related.groupBy("query_id", "ordinal").agg(F.count("*").alias("n"))
+    first = cut(related.join(within_budget(counts, config.max_candidates).select("query_id", "ordinal"), ["query_id", "ordinal"], "left_semi"))
+    had = usable_counts(first)
+    short = cut(mains.select("query_id", "n_tokens").join(had, "query_id", "left").where(F.coalesce("usable", F.lit(0)) < config.min_similar).select("query_id", "n_tokens"))
+    by_words = lookup(short.select(F.col("query_id").alias("aid"), F.col("n_tokens").alias("terms")).where(F.size("terms") > 0), sides.where("ordinal is not null").select(F.col(seq).alias("rid"), F.col("n_tokens").alias("terms")), 0.5)
+    found = by_words.select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"), "hits")
+    searched = _asked(found, mains, sides, [F.col("hits").desc()], min(config.results_per_source, 2 * config.max_similar), seq)
+    # what is there before a source is asked: rows, and different works
+    both = cut(first.join(short.select("query_id"), "query_id", "left_semi").withColumn("ordinal", F.lit(-1)).unionByName(searched))
+    new = both.groupBy("query_id", "key").agg(F.min("ordinal").alias("ordinal")).groupBy("query_id", "ordinal").agg(F.count("*").alias("works"))
+    steps = both.groupBy("query_id", "ordinal").agg(F.count("*").alias("n")).join(new, ["query_id", "ordinal"], "left")
+    before = Window.partitionBy("query_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    asked = steps.withColumns({"rows": earlier("n"), "usable": earlier("works")}).where((F.col("ordinal") >= 0) & (F.col("rows") < config.max_candidates) & (F.col("usable") < 1.5 * config.max_similar))
+    more = both.join(asked.select("query_id", "ordinal"), ["query_id", "ordinal"], "left_semi")
+    return first.select("query_id", "seq").unionByName(more.select("query_id", "seq")).distinct()
+
+
+def find_similar(mains: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
+    """The most similar papers of each main paper, among the candidates of its pool. mains: prepared paper columns, query_id, from_year, to_year.
+
+    Pairs are scored on the columns that the score reads, derived for the records of the pools only; titles come at the end."""
+    pairs = cut(similar_pool(mains, papers, config, seq))
+    slim = papers.select(F.col(seq).alias("seq"), *SCORED).join(pairs.select("seq").distinct(), "seq", "left_semi")
+    c = prefixed(cut(similarity_columns(slim).drop("keywords", "topics")), "c_", ("seq",))
+    m = prefixed(cut(similarity_columns(mains.select("query_id", "from_year", "to_year", *SCORED)).drop("keywords", "topics")), "m_", ("query_id", "from_year", "to_year"))
+    ranked = rank_similar(pairs.join(m, "query_id").join(c, "seq"), ["query_id"], config.max_similar, config)
+    ranked = ranked.select("query_id", "rank", "seq", "similarity", "sim_title", "sim_abstract", "sim_keywords", "sim_topics", "relation_bonus")
+    return ranked.join(papers.select(F.col(seq).alias("seq"), F.col("title").alias("c_title")), "seq")
+
+
+def usable_counts(pool: DataFrame) -> DataFrame:
+    """(query_id, usable): different works in a pool; key: DOI or lower-case title."""
+    return pool.groupBy("query_id").agg(F.countDistinct("key").alias("usable"))
 
 
 def within_budget(counts: DataFrame, cap: int, by: str = "query_id") -> DataFrame:
@@ -200,7 +242,7 @@ def search(queries: DataFrame, papers: DataFrame, locations: DataFrame | None =
         locations = p.sparkSession.createDataFrame([], f"{seq} bigint, seq int, source string, available boolean, url string, type string, access_type string, license string")
     full = cut(back_fill(resolve_full_text(found.drop("seq"), locations, seq)))
     similar = find_similar(full.join(q.select("query_id", "from_year", "to_year"), "query_id"), p, config, seq)
-    hits = similar.select("query_id", "rank", F.col(f"c_{seq}").alias("hit"), F.col("c_title").alias("hit_title"), F.col("similarity").alias("score"))
+    hits = similar.select("query_id", "rank", F.col("seq").alias("hit"), F.col("c_title").alias("hit_title"), F.col("similarity").alias("score"))
     found_by_words = discover(scored, config).select("query_id", "rank", F.col(f"c_{seq}").alias("hit"), F.col("c_title").alias("hit_title"), F.col("final_score").alias("score"))
     listed = hits.unionByName(found_by_words).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hit", "hit_title", "score"))).alias("similar_papers"))
     ident = paper_id("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id")
@@ -232,4 +274,4 @@ def lookup_by_id(ids: DataFrame, papers: DataFrame, seq: str = "record_id") -> D
     return asked.join(known, ["scheme", "value"]).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-__all__ = ["search", "identify", "discover", "find_similar", "retrieve", "score_candidates", "variants", "lookup", "lookup_by_id", "related_candidates", "title_tokens"]
+__all__ = ["search", "identify", "discover", "find_similar", "retrieve", "score_candidates", "variants", "lookup", "lookup_by_id", "related_candidates", "similar_pool", "title_tokens"]

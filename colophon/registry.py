@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from . import twins
 from .config import DEFAULT
 from .functions import authors as A
 from .functions import identifiers as I
@@ -456,8 +457,16 @@ def g01_dedup(s, d):
 
 @query()
 def g02_merge(s, d):
-    x = dedup.deduplicate(table(s, d, "papers"))
-    return x.select("first_seq", "n_members", "title", "doi", "year", F.size("authors").alias("n_authors"), F.size("sources").alias("n_sources"), F.size("source_links").alias("n_links"), "citation_count", "pdf_url", F.length("abstract").alias("abstract_length"))
+    """The given groups, each merged into the record of its first member."""
+    m = table(s, d, "merge_groups").groupBy("group_id", "record_id").count().select("group_id", F.col("record_id").alias("seq"))
+    m = m.withColumn("first_seq", F.min("seq").over(Window.partitionBy("group_id"))).select("first_seq", "seq").distinct()
+    x = dedup.merge(cut(dedup.base_columns(table(s, d, "papers"), "record_id").join(m, "seq")))
+    join = lambda c: F.array_join(c, "|", "~")
+    links = F.transform("source_links", lambda l: F.concat_ws(";", l["source"], F.coalesce(l["pdf_url"], F.lit("")), F.coalesce(l["landing_page_url"], F.lit(""))))
+    return x.select(
+        "first_seq", "n_members", "title", "doi", "pmid", "pmcid", "arxiv_id", "year", "journal", "conference", "publisher", "source", "source_id", join("authors").alias("authors"), join("sources").alias("sources"), join(links).alias("links"),
+        join("keywords").alias("keywords"), join("topics").alias("topics"), F.size("reference_ids").alias("n_references"), "citation_count", "pdf_url", "landing_page_url", "is_open_access", "confidence", "match_type", "similarity_score", "abstract",
+    )
 
 
 @query(
@@ -859,7 +868,7 @@ def c08_similar(s, d):
     p = _prepared(s, d)
     mains = p.join(first, "record_id").withColumnRenamed("group_id", "query_id").withColumns({"from_year": F.lit(None).cast("int"), "to_year": F.lit(None).cast("int")})
     x = engine.find_similar(mains, p)
-    return x.select("query_id", "rank", F.col("c_record_id").alias("record_id"), "similarity", "sim_title", "sim_abstract", "sim_keywords", "sim_topics", "relation_bonus")
+    return x.select("query_id", "rank", F.col("seq").alias("record_id"), "similarity", "sim_title", "sim_abstract", "sim_keywords", "sim_topics", "relation_bonus")
 
 
 @query()
@@ -884,4 +893,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {k: v for k, v in twins.SQL.items() if k in QUERIES}

@@ -73,7 +73,7 @@ def test_grouping_equals_a_walk_over_all_records(spark):
     from helpers import SF
 
     p = spark.read.parquet(f"{SF}/papers.parquet")
-    n = dedup._base(p, "record_id").select(
+    n = dedup.base_columns(p, "record_id").select(
         "seq", "year", "doi", "source", I.identity_keys("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id").alias("keys"), T.normalize_title("title").alias("n_title"), T.title_fingerprint("title").alias("n_print"),
         A.normalize_authors("authors").alias("n_authors"), F.size("authors").alias("n_listed"), F.length("title").alias("length"), dedup._trust(F.col("source")).alias("trust"),
     )
