@@ -89,11 +89,17 @@ def retrieve(queries: DataFrame, papers: DataFrame, config: EngineConfig = DEFAU
     recs = papers.select(F.col(seq).alias("rid"), "source", "n_doi", "n_tokens", "n_words", "n_authors").withColumn("tier", pick(tier_of)).withColumn("ordinal", pick(ordinal_of)).where("tier is not null")
     v = variants(queries, config.results_per_source)
     by_doi = v.where("label = 'doi'").join(recs.select("rid", "tier", "ordinal", F.col("n_doi").alias("v_doi")), "v_doi").select("query_id", "variant_pos", "limit", "tier", "ordinal", "rid", F.lit(1).alias("hits"))
-    aid = F.struct("query_id", "variant_pos")
-    text = v.where(F.size("terms") > 0).withColumn("aid", aid)
-    titled = lookup(text.where("label <> 'keywords'").select("aid", "terms"), recs.select("rid", F.col("n_tokens").alias("terms")), 0.5)
-    worded = lookup(text.where("label = 'keywords'").select("aid", "terms"), recs.select("rid", F.col("n_words").alias("terms")), 0.5)
-    hits = titled.unionByName(worded).join(text.select("aid", "limit"), "aid").join(recs.select("rid", "tier", "ordinal"), "rid").select("aid.query_id", "aid.variant_pos", "limit", "tier", "ordinal", "rid", "hits")
+
+    def found(labels: tuple[str, ...], terms: str) -> DataFrame:
+        """Variants of a query that ask with the same terms are looked up once."""
+        asks = v.where(F.col("label").isin(*labels))
+        once = queries.join(asks.select("query_id").distinct(), "query_id", "left_semi").select(F.col("query_id").alias("aid"), F.col(terms).alias("terms")).where(F.size("terms") > 0)
+        hit = lookup(once, recs.select("rid", F.col(terms).alias("terms")), 0.5).withColumnRenamed("aid", "query_id").join(recs.select("rid", "tier", "ordinal"), "rid")
+        top = Window.partitionBy("query_id", "tier", "ordinal").orderBy(F.col("hits").desc(), "rid")
+        hit = hit.withColumn("place", F.row_number().over(top)).where(F.col("place") <= config.results_per_source)
+        return hit.join(asks.select("query_id", "variant_pos", "limit"), "query_id").select("query_id", "variant_pos", "limit", "tier", "ordinal", "rid", "hits")
+
+    hits = found(("exact-title", "title-author", "fuzzy-title"), "n_tokens").unionByName(found(("keywords",), "n_words"))
     surname = F.transform("n_authors", lambda a: a["last"])
     only = v.where("label = 'authors-only'").join(queries.select("query_id", F.explode(surname).alias("last")), "query_id").select("query_id", "variant_pos", "limit", "last")
     people = recs.select("rid", "tier", "ordinal", F.explode(F.array_distinct(surname)).alias("last"))
@@ -107,12 +113,18 @@ def arrival() -> Column:
     return F.struct("tier", "variant_pos", "ordinal", "rank", "seq")
 
 
+# What the verdict reads of a query and of a record; everything else is fetched for the few rows that are returned.
+ASKED = ("title", "doi", "from_year", "to_year", "n_title", "n_tokens", "n_grams", "n_authors", "n_words", "year_hint")
+JUDGED = ("title", "year", "sources", "citation_count", "n_title", "n_tokens", "n_grams", "n_print", "n_doi", "n_authors", "n_venue", "n_words")
+
+
 def score_candidates(arrivals: DataFrame, queries: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
     """Each (query, record) scored once, at its first arrival."""
     first = arrivals.groupBy("query_id", "seq").agg(F.min(F.struct("tier", "variant_pos", "ordinal", "rank")).alias("a")).select("query_id", "seq", "a.*")
-    q = prefixed(queries.withColumn("query_id_", F.col("query_id")).drop("query_id"), "q_").withColumnRenamed("q_query_id_", "query_id")
-    c = prefixed(papers, "c_").withColumn("seq", F.col(f"c_{seq}"))
-    return evaluate(first.join(q, "query_id").join(c, "seq"), config)
+    q = prefixed(queries.select("query_id", *ASKED), "q_", ("query_id",))
+    c = prefixed(papers.select(F.col(seq).alias("seq"), *JUDGED), "c_", ("seq",))
+    drop = [f"q_{n}" for n in ASKED if n[:2] == "n_"] + [f"c_{n}" for n in JUDGED if n[:2] == "n_" and n != "n_print"]
+    return evaluate(first.join(q, "query_id").join(c, "seq"), config).drop(*drop)
 
 
 def identify(scored: DataFrame, arrivals: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -243,7 +255,7 @@ def search(queries: DataFrame, papers: DataFrame, locations: DataFrame | None =
     full = cut(back_fill(resolve_full_text(found.drop("seq"), locations, seq)))
     similar = find_similar(full.join(q.select("query_id", "from_year", "to_year"), "query_id"), p, config, seq)
     hits = similar.select("query_id", "rank", F.col("seq").alias("hit"), F.col("c_title").alias("hit_title"), F.col("similarity").alias("score"))
-    found_by_words = discover(scored, config).select("query_id", "rank", F.col(f"c_{seq}").alias("hit"), F.col("c_title").alias("hit_title"), F.col("final_score").alias("score"))
+    found_by_words = discover(scored, config).select("query_id", "rank", F.col("seq").alias("hit"), F.col("c_title").alias("hit_title"), F.col("final_score").alias("score"))
     listed = hits.unionByName(found_by_words).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hit", "hit_title", "score"))).alias("similar_papers"))
     ident = paper_id("doi", "pmcid", "pmid", "arxiv_id", "source", "source_id")
     paper = full.select("query_id", F.col(seq).alias("exact_id"), ident.alias("paper_id"), F.col("title").alias("exact_title"), "match_type", "confidence", "stopped_early", "source", "full_text", "pdf_url")
