@@ -119,8 +119,12 @@ JUDGED = ("title", "year", "sources", "citation_count", "n_title", "n_tokens", "
 
 
 def score_candidates(arrivals: DataFrame, queries: DataFrame, papers: DataFrame, config: EngineConfig = DEFAULT, seq: str = "record_id") -> DataFrame:
-    """Each (query, record) scored once, at its first arrival."""
+    """Each (query, record) scored once, at its first arrival. arrivals are written (see ``cut``)."""
     first = arrivals.groupBy("query_id", "seq").agg(F.min(F.struct("tier", "variant_pos", "ordinal", "rank")).alias("a")).select("query_id", "seq", "a.*")
+    # scoring is long work on few bytes: what came in fewer tasks than there are cores is spread over them
+    cores = arrivals.sparkSession.sparkContext.defaultParallelism
+    if arrivals.rdd.getNumPartitions() < cores:
+        first = first.repartition(cores)
     q = prefixed(queries.select("query_id", *ASKED), "q_", ("query_id",))
     c = prefixed(papers.select(F.col(seq).alias("seq"), *JUDGED), "c_", ("seq",))
     drop = [f"q_{n}" for n in ASKED if n[:2] == "n_"] + [f"c_{n}" for n in JUDGED if n[:2] == "n_" and n != "n_print"]

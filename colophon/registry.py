@@ -24,7 +24,8 @@ from .operators import dedup, fulltext, ranking, status, traffic, validate
 from .operators.components import connected_components
 from .operators.prepare import prepare_papers, prepare_queries
 from .plans import engine
-from .session import cut, table
+from .session import cut, spread
+from .session import table as read_table
 from .sources import grammar, mappers
 from .sources import registry as dimension
 
@@ -34,6 +35,12 @@ ORACLE: dict[str, str] = {}
 YEAR = DEFAULT.as_of_year
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Texts are long work, so a table in one small file is spread before they are worked on."""
+    x = read_table(spark, sf_dir, name)
+    return spread(x) if name in ("papers", "build_inputs", "repository_items", "documents") else x
+
+
 def query(sql: str | None = None):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -419,7 +426,7 @@ def j04_key_groups(s, d):
     f"SELECT a AS title_a, b AS title_b, {O.round_score('s')} AS similarity FROM s WHERE s >= 0.93"
 )
 def j05_fuzzy_titles(s, d):
-    t = table(s, d, "papers").select(T.normalize_title("title").alias("n_title")).where("n_title <> ''").distinct()
+    t = cut(table(s, d, "papers").select(T.normalize_title("title").alias("n_title"))).where("n_title <> ''").distinct()
     t = t.withColumn("n_tokens", S.content_tokens(F.col("n_title"))).withColumn("n_grams", S.bigrams(F.col("n_title")))
     return dedup.fuzzy_title_pairs(t).select("title_a", "title_b", round_score(F.col("similarity")).alias("similarity"))
 
@@ -490,7 +497,7 @@ def g04_capped_union(s, d):
 def g05_select_best(s, d):
     """The best candidate of each repository item among the records that share half of its title words."""
     q, p = _described(s, d), _prepared(s, d)
-    scored = engine.score_candidates(engine.retrieve(q, p), q, p)
+    scored = engine.score_candidates(cut(engine.retrieve(q, p)), q, p)
     from .operators.matching import select_best
 
     return select_best(scored, ["query_id"]).select("query_id", F.col("seq").alias("record_id"), "match_type", "confidence", "final_score", "is_exact")

@@ -11,6 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores, where its files give fewer tasks than the cluster can run; a large input stays as it is.
+
+    Filters and pruned columns still reach the scan, so only what is read moves."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the cluster's shared folder from ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
     sc = spark.sparkContext
