@@ -13,7 +13,7 @@ def test_search_identifies_and_lists(spark):
     rows = [
         {"title": title, "authors": ["Jane Doe"], "doi": "10.1234/a", "source": "arXiv", "keywords": ["graphs", "molecules"], "reference_ids": ["10.1234/r1", "10.1234/r2", "10.1234/r3"]},
         {"title": title, "authors": ["Jane Doe"], "doi": "10.1234/b", "source": "Crossref", "pdf_url": "https://x.org/b.pdf", "is_open_access": True},
-        {"title": "Sparse molecular conformers revisited with graph attention", "source": "DOAJ", "doi": "10.1234/c", "reference_ids": ["10.1234/r1", "10.1234/r2", "10.1234/r3"]},
+        {"title": "Sparse molecular conformers revisited with graph attention", "source": "OpenAlex", "doi": "10.1234/c", "reference_ids": ["10.1234/r1", "10.1234/r2", "10.1234/r3"]},
         {"title": "Unrelated botany of alpine meadows", "source": "DOAJ", "doi": "10.1234/d"},
     ]
     q = spark.createDataFrame(
@@ -22,12 +22,31 @@ def test_search_identifies_and_lists(spark):
     )
     got = {r.query_id: r for r in engine.search(q, papers(spark, rows)).collect()}
     assert got[1].exact_id == 1 and got[1].stopped_early and got[1].match_type == "exact"  # the primary tier comes first
-    assert [h.hit for h in got[1].similar_papers] == [2, 3]  # another DOI is another record
+    assert [h.hit for h in got[1].similar_papers] == [3]  # Crossref isn't asked for similar papers
     assert got[2].exact_id == 4 and got[2].confidence == 0.99
     assert got[3].exact_id is None and {h.hit for h in got[3].similar_papers} == {2, 3}  # one of each title
     assert got[4].exact_id is None and got[4].notes == ["No confident match was found in the configured academic sources."]
 
 
+def test_pool_of_similar_papers(spark):
+    """Enough related records: no search. Too few: the sources are searched in order until one and a half times the target is usable."""
+    from colophon.operators.prepare import prepare_papers
+
+    refs = ["10.1234/r1", "10.1234/r2", "10.1234/r3"]
+    title = "Lichen growth on alpine granite"
+    rows = [{"title": title, "doi": "10.1234/m1", "reference_ids": refs}, {"title": "Glacial moraines of the north", "doi": "10.1234/m2"}]
+    rows += [{"title": f"Work number {k} coupled", "source": "Semantic Scholar", "reference_ids": refs} for k in range(25)]  # 3 .. 27
+    rows += [{"title": f"{title} again {k}", "source": "arXiv"} for k in range(3)]  # 28 .. 30
+    rows += [{"title": f"Glacial moraines of the north revisited {k}", "source": s} for s in ("CORE", "OpenAlex", "DOAJ", "Semantic Scholar") for k in range(18 if s != "CORE" else 2)]
+    p = prepare_papers(papers(spark, rows))
+    mains = p.where("record_id <= 2").withColumn("query_id", F.col("record_id")).withColumns({"from_year": F.lit(None).cast("int"), "to_year": F.lit(None).cast("int")})
+    got = {}
+    for r in engine.similar_pool(mains, p).collect():
+        got.setdefault(r.query_id, set()).add(rows[r.seq - 1]["source"]), got.setdefault(-r.query_id, []).append(r.seq)
+    assert sorted(got[-1]) == list(range(3, 23)) and got[1] == {"Semantic Scholar"}  # twice the target, and nothing searched
+    assert got[2] == {"Semantic Scholar"} and len(got[-2]) == 18  # 18 usable works: the next source isn't asked
+
+
 def test_variants_order(spark):
     from colophon.operators.prepare import prepare_queries
 
