@@ -23,7 +23,7 @@ from .functions.core import capped, ordered_distinct, round_score
 from .operators import dedup, fulltext, ranking, status, traffic, validate
 from .operators.components import connected_components
 from .operators.prepare import prepare_papers, prepare_queries
-from .plans import engine
+from .plans import connectors, engine
 from .session import cut, spread
 from .session import table as read_table
 from .sources import grammar, mappers
@@ -895,6 +895,59 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _answers(s, d, source):
+    """Records of a source that carry or cite the DOI of an item, as its text search answers them."""
+    p = table(s, d, "papers").where(F.col("source") == source).select(F.col("record_id").alias("seq"), I.normalize_doi("doi").alias("n_doi"), "reference_ids")
+    named = p.select("seq", "n_doi", F.explode(F.array_compact(F.concat(F.array("n_doi"), F.coalesce(F.transform("reference_ids", I.normalize_doi), F.array().cast("array<string>"))))).alias("asked")).distinct()
+    i = table(s, d, "repository_items").select(F.col("item_id").alias("lookup_id"), I.normalize_doi("doi").alias("asked"))
+    return i.join(named, "asked").select("lookup_id", "asked", F.col("seq").alias("place"), "seq", "n_doi")
+
+
+@query()
+def s01b_own_doi(s, d):
+    return connectors.own_doi(_answers(s, d, "DOAJ"))
+
+
+@query()
+def s02b_own_doi_first(s, d):
+    return connectors.own_doi_first(_answers(s, d, "PubMed Central"))
+
+
+@query()
+def j11_id_bridge(s, d):
+    p = table(s, d, "papers").select("record_id", "pmid", "pmcid", I.normalize_doi("doi").alias("n_doi"))
+    return connectors.with_pmcid(p, connectors.pmc_bridge(p)).select("record_id", "found_pmcid")
+
+
+@query()
+def s05b_recommended(s, d):
+    """Citing records as recommendations of the cited one, asked for by its strongest identifier."""
+    p = table(s, d, "papers").withColumn("identifier", connectors.strongest_id())
+    cites = p.select(F.col("record_id").alias("dst"), F.explode("reference_ids").alias("doi")).join(p.select("doi", "identifier"), "doi")
+    edges = cites.where("identifier is not null").select("identifier", "dst").distinct().withColumn("place", F.col("dst"))
+    return connectors.recommended(p.select(F.col("record_id").alias("query_id"), "identifier"), edges, 20)
+
+
+@query()
+def s07b_related_works(s, d):
+    """References among OpenAlex's records as its related works; a search by title and topics tops up."""
+    p = table(s, d, "papers").where("source = 'OpenAlex'").select(F.col("record_id").alias("seq"), I.normalize_openalex_id("source_id").alias("openalex_id"), "doi", "title", "reference_ids", F.slice(F.coalesce("topics", "keywords", F.array().cast("array<string>")), 1, 3).alias("t"))
+    p = cut(p.withColumn("terms", S.content_tokens(T.normalize_title(F.concat_ws(" ", F.col("title"), F.array_join("t", " "))))).drop("title", "t"))
+    refs = p.where("openalex_id is not null").select("openalex_id", F.posexplode("reference_ids").alias("place", "doi"))
+    edges = refs.join(p.select("doi", F.col("openalex_id").alias("dst_id")), "doi").where("dst_id is not null").groupBy("openalex_id", "dst_id").agg(F.min("place").alias("place"))
+    return connectors.related_works(p.select(F.col("seq").alias("query_id"), "openalex_id", "terms"), edges, p.select("seq", "openalex_id", "terms"), 10)
+
+
+@query()
+def k02_paper(s, d):
+    """The record that answers an id, with its full text and its link filled in."""
+    p = table(s, d, "papers").withColumn("n_doi", I.normalize_doi("doi"))
+    i = table(s, d, "repository_items").select(F.col("item_id").alias("lookup_id"), F.lit("doi").alias("scheme"), I.normalize_doi("doi").alias("value")).where("value is not null")
+    hit = engine.lookup_by_id(i, p).select("lookup_id", "record_id")
+    x = fulltext.back_fill(hit.join(p, "record_id").withColumn("full_text", fulltext.derive_full_text()))
+    return x.select("lookup_id", "record_id", "title", "full_text.access_type", "full_text.url", "pdf_url")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -475,3 +475,38 @@ SQL["k01_search"] = (
     "WHEN main.early THEN 'Exact match confirmed by ' || lo.source || '; remaining main-paper requests were cancelled.' ELSE 'No exact match; returning the closest candidate (' || main.kind || ', confidence ' || printf('%.2f', main.conf) || ').' END AS notes "
     "FROM q LEFT JOIN main USING (query_id) LEFT JOIN lo ON lo.record_id = main.seq LEFT JOIN sl ON sl.query_id = q.query_id"
 )
+
+# Second steps of the connectors -----------------------------------------------------------------------------------
+
+
+def _answers(source: str) -> str:
+    return (
+        f"pa AS MATERIALIZED (SELECT record_id, {O.normalize_doi('doi')} AS nd, reference_ids FROM papers WHERE source = {O.q(source)}), nm AS (SELECT record_id, nd, nd AS asked FROM pa UNION SELECT record_id, nd, {O.normalize_doi('r')} FROM (SELECT record_id, nd, unnest(reference_ids) AS r FROM pa)), "
+        f"an AS (SELECT i.item_id AS lookup_id, nm.record_id AS seq, coalesce(nm.nd = nm.asked, false) AS own FROM (SELECT item_id, {O.normalize_doi('doi')} AS d FROM repository_items) i JOIN nm ON nm.asked = i.d)"
+    )
+
+
+SQL["s01b_own_doi"] = f"WITH {_answers('DOAJ')} SELECT lookup_id, min(seq) AS seq FROM an WHERE own GROUP BY lookup_id"
+SQL["s02b_own_doi_first"] = f"WITH {_answers('PubMed Central')} SELECT lookup_id, coalesce(min(CASE WHEN own THEN seq END), min(seq)) AS seq FROM an GROUP BY lookup_id"
+SQL["j11_id_bridge"] = (
+    f"WITH x AS MATERIALIZED (SELECT record_id, upper(nullif(pmcid, '')) AS pmcid, nullif(pmid, '') AS pmid, {O.normalize_doi('doi')} AS nd FROM papers), k AS (SELECT id, min(pmcid) AS pmcid FROM (SELECT nd AS id, pmcid FROM x UNION ALL SELECT pmid, pmcid FROM x) WHERE id IS NOT NULL AND pmcid IS NOT NULL GROUP BY id) "
+    "SELECT x.record_id, coalesce(x.pmcid, k.pmcid) AS found_pmcid FROM x LEFT JOIN k ON k.id = coalesce(x.nd, x.pmid)"
+)
+_STRONG = "coalesce(CASE WHEN source = 'Semantic Scholar' THEN nullif(source_id, '') END, 'DOI:' || nullif(doi, ''), 'ARXIV:' || nullif(arxiv_id, ''), 'PMID:' || nullif(pmid, ''), 'PMCID:' || nullif(pmcid, ''))"
+SQL["s05b_recommended"] = (
+    f"WITH x AS (SELECT record_id, doi, reference_ids, {_STRONG} AS id FROM papers), c AS (SELECT DISTINCT y.id, r.dst FROM (SELECT record_id AS dst, unnest(reference_ids) AS ref FROM x) r JOIN x y ON y.doi = r.ref WHERE y.id IS NOT NULL), "
+    "o AS (SELECT x.record_id AS query_id, c.dst, row_number() OVER (PARTITION BY x.record_id ORDER BY c.dst)::INT AS rank FROM x JOIN c USING (id)) SELECT * FROM o WHERE rank <= 20"
+)
+SQL["s07b_related_works"] = (
+    f"WITH x0 AS (SELECT record_id AS seq, doi, reference_ids, CASE WHEN regexp_full_match(source_id, '(?i)w\\d{{4,12}}') THEN upper(source_id) END AS oa, {O.normalize_title('concat_ws(' + Q + ' ' + Q + ', title, array_to_string((coalesce(topics, keywords, []::VARCHAR[]))[1:3], ' + Q + ' ' + Q + '))')} AS nt FROM papers WHERE source = 'OpenAlex'), "
+    f"x AS MATERIALIZED (SELECT *, list_distinct({O.words('nt')}) AS w FROM x0), e AS (SELECT r.oa, y.oa AS dst, min(r.place) AS place FROM (SELECT oa, unnest(range(len(reference_ids))) AS place, unnest(reference_ids) AS ref FROM x WHERE oa IS NOT NULL) r JOIN x y ON y.doi = r.ref WHERE y.oa IS NOT NULL GROUP BY ALL), "
+    "n AS (SELECT * FROM (SELECT x.seq AS query_id, e.dst, row_number() OVER (PARTITION BY x.seq ORDER BY e.place, e.dst) AS k FROM x JOIN e USING (oa)) WHERE k <= 10), b AS MATERIALIZED (SELECT DISTINCT n.query_id, i.seq FROM n JOIN (SELECT oa, min(seq) AS seq FROM x WHERE oa IS NOT NULL GROUP BY oa) i ON i.oa = n.dst), "
+    "sh AS (SELECT x.seq, x.w FROM x LEFT JOIN (SELECT query_id, count(*) AS n FROM b GROUP BY query_id) c ON c.query_id = x.seq WHERE coalesce(c.n, 0) < 10), "
+    f"m AS (SELECT * FROM (SELECT a AS query_id, r AS seq, row_number() OVER (PARTITION BY a ORDER BY hits DESC, r) AS k FROM {_shared('SELECT seq AS a, w FROM sh', 'SELECT seq AS r, w FROM x')}) WHERE k <= 20) "
+    "SELECT query_id, seq, 'related' AS route FROM b UNION ALL SELECT query_id, seq, 'search' FROM m WHERE (query_id, seq) NOT IN (SELECT query_id, seq FROM b)"
+)
+SQL["k02_paper"] = (
+    f"WITH x AS MATERIALIZED (SELECT record_id, title, pdf_url AS own_pdf, {_ORDER} AS ord, {O.normalize_doi('doi')} AS nd, {LOCATION} FROM papers), i AS (SELECT item_id AS lookup_id, {O.normalize_doi('doi')} AS d FROM repository_items), "
+    "h AS (SELECT i.lookup_id, x.*, row_number() OVER (PARTITION BY i.lookup_id ORDER BY ord, record_id) AS rn FROM i JOIN x ON x.nd = i.d WHERE ord IS NOT NULL) "
+    "SELECT lookup_id, record_id, title, access_type, url, CASE WHEN nullif(own_pdf, '') IS NULL AND type = 'pdf' THEN url ELSE own_pdf END AS pdf_url FROM h WHERE rn = 1"
+)
