@@ -921,11 +921,12 @@ def j11_id_bridge(s, d):
 
 @query()
 def s05b_recommended(s, d):
-    """Citing records as recommendations of the cited one, asked for by its strongest identifier."""
-    p = table(s, d, "papers").withColumn("identifier", connectors.strongest_id())
-    cites = p.select(F.col("record_id").alias("dst"), F.explode("reference_ids").alias("doi")).join(p.select("doi", "identifier"), "doi")
-    edges = cites.where("identifier is not null").select("identifier", "dst").distinct().withColumn("place", F.col("dst"))
-    return connectors.recommended(p.select(F.col("record_id").alias("query_id"), "identifier"), edges, 20)
+    """The other members of a group as recommendations of its first one, asked for by that one's strongest identifier."""
+    p = table(s, d, "papers").select(F.col("record_id").alias("query_id"), connectors.strongest_id().alias("identifier"))
+    m = table(s, d, "merge_groups")
+    first = m.groupBy("group_id").agg(F.min("record_id").alias("query_id"))
+    edges = m.join(first, "group_id").where("record_id <> query_id").join(p, "query_id").select("identifier", F.col("record_id").alias("dst")).distinct().withColumn("place", F.col("dst"))
+    return connectors.recommended(p, edges, 20)
 
 
 @query()

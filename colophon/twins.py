@@ -494,7 +494,7 @@ SQL["j11_id_bridge"] = (
 )
 _STRONG = "coalesce(CASE WHEN source = 'Semantic Scholar' THEN nullif(source_id, '') END, 'DOI:' || nullif(doi, ''), 'ARXIV:' || nullif(arxiv_id, ''), 'PMID:' || nullif(pmid, ''), 'PMCID:' || nullif(pmcid, ''))"
 SQL["s05b_recommended"] = (
-    f"WITH x AS (SELECT record_id, doi, reference_ids, {_STRONG} AS id FROM papers), c AS (SELECT DISTINCT y.id, r.dst FROM (SELECT record_id AS dst, unnest(reference_ids) AS ref FROM x) r JOIN x y ON y.doi = r.ref WHERE y.id IS NOT NULL), "
+    f"WITH x AS (SELECT record_id, {_STRONG} AS id FROM papers), g AS (SELECT record_id, min(record_id) OVER (PARTITION BY group_id) AS head FROM merge_groups), c AS (SELECT DISTINCT x.id, g.record_id AS dst FROM g JOIN x ON x.record_id = g.head WHERE g.record_id <> g.head), "
     "o AS (SELECT x.record_id AS query_id, c.dst, row_number() OVER (PARTITION BY x.record_id ORDER BY c.dst)::INT AS rank FROM x JOIN c USING (id)) SELECT * FROM o WHERE rank <= 20"
 )
 SQL["s07b_related_works"] = (
