@@ -6,21 +6,23 @@ first: a profile of columns grows, each column holds weighted votes for its toke
 the winner of every column; the survivor is the existing value closest to it.
 
 Weights make the vote follow the wanted order of preference. For abstracts a value votes only if it
-is complete, and a later retrieval outweighs all earlier ones together; what is aligned to a mere
-beginning of a longer value counts as cut off. DOIs and links are single-token values, so their
+is complete; what is aligned to a mere beginning of a longer value, up to ``SLIP`` of its tokens, counts as cut off. A later
+retrieval outweighs all earlier ones together, so the complete values of the latest retrieval vote, with equal weights. DOIs and links are single-token values, so their
 alignment has one column and the vote is an aggregate: trust of the source, then retrieval. Lists of
 sources are sets of tokens, one column per distinct source, and every column survives.
 
 Groups may be of any size: aggregation happens before the shuffle, and in groups with more than ``BLOCK``
-distinct values the cut ones are found by a join and the heaviest of the others by an aggregate; no task gathers such a group.
+distinct values the cut ones are found by joins; no task gathers such a group, only its complete values of one retrieval.
 
 Results: NULL, blank, placeholder and notice values never survive; a field without a usable value gives
-no row. Ties in weight go to the value with the smallest record id. Repeated memberships count once,
+no row. Values equally close to the consensus: the smallest record id. Repeated memberships count once,
 memberships without a record are ignored. Empty tables give an empty table.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -34,6 +36,10 @@ from ..functions.urls import is_public_pdf
 from ..session import cut
 
 BLOCK = 64
+# A value differs in at most this share of its tokens from the beginning of the longer value that it was cut from.
+SLIP = 0.05
+# Retrievals of a large group that are compared at once, the latest first.
+LEVELS = 8
 MAX_SOURCES = 10_000
 MAX_NOTICES = 200_000
 # A sentence found in at least this share of all groups, and in four groups, is a notice and no abstract.
@@ -152,26 +158,69 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
+def begins(short: list[str], long: list[str]) -> bool:
+    """Whether one token sequence is aligned to a mere beginning of the other: few tokens differ, and more than those follow."""
+    m, slip = len(short), int(SLIP * len(short))
+    head = long[: m + slip]
+    if len(long) <= m or sum((Counter(short) & Counter(head)).values()) < m - slip:
+        return False
+    profile, last = align([{t: 1.0} for t in head], short, 1.0)
+    inserted = len(profile) - len(head)
+    used = last + 1 - inserted
+    return max(inserted, used - (m - inserted)) <= slip and len(long) - used > slip
+
+
+def is_cut(row: dict, other: dict) -> bool:
+    """Whether ``row`` is only the beginning of the longer ``other``. Both: body, tokens."""
+    if len(other["body"]) <= len(row["body"]):
+        return False
+    return other["body"].startswith(row["body"]) or begins(row["tokens"], other["tokens"])
+
+
+def elected(rows: list[dict]) -> dict:
+    """The value closest to the consensus of values that weigh the same. rows: record_id, tokens."""
+    rows = sorted(rows, key=lambda r: r["record_id"])
+    if len(rows) < 3:  # of two, the first is the consensus
+        return rows[0]
+    text = consensus([(r["tokens"], 1.0) for r in rows])
+    return min(rows, key=lambda r: (distance(r["tokens"], text), r["record_id"]))
+
+
 def survivor(rows: list[dict]) -> dict | None:
-    """rows: body, whole, retrieved, record_id. The complete value closest to the weighted consensus."""
-    rows = sorted(rows, key=lambda r: (r["retrieved"] is None, -(r["retrieved"] or 0), r["record_id"]))
-    whole = [r for r in rows if r["whole"]]
-    if len(rows) > 1:
-        # a value that is only the beginning of a longer one was cut at the end of a sentence
-        whole = [r for r in whole if not any(o is not r and len(o["body"]) > len(r["body"]) and o["body"].startswith(r["body"]) for o in rows)]
-    if len(whole) < 2:
-        return whole[0] if whole else None
-    toks = [tokens_of(r["body"]) for r in whole]
-    weights = [2.0 ** -min(k, 1000) for k in range(len(whole))]
-    weights[0] *= 2.0  # outweighs all others together
-    text = consensus(list(zip(toks, weights)))
-    return min(zip(whole, toks, range(len(whole))), key=lambda x: (distance(x[1], text), x[2]))[0]
+    """rows: body, whole, retrieved, record_id. Of the complete values of the latest retrieval that has any, the one closest to their consensus."""
+    rows = [r | {"tokens": tokens_of(r["body"])} for r in rows]
+    levels: dict[int | None, list[dict]] = {}
+    for r in rows:
+        if r["whole"]:
+            levels.setdefault(r["retrieved"], []).append(r)
+    for k in sorted(levels, key=lambda t: (t is None, -(t or 0))):
+        if whole := [r for r in levels[k] if not any(is_cut(r, o) for o in rows)]:
+            return elected(whole)
+    return None
 
 
 def _pick(table: pa.Table) -> pa.Table:
     best = survivor(table.to_pylist())
     keep = [best] if best else []
-    return pa.Table.from_pylist(keep, schema=table.schema)
+    return pa.Table.from_pylist(keep, schema=table.schema)  # without the tokens
+
+
+def _elect(table: pa.Table) -> pa.Table:
+    best = elected([r | {"tokens": tokens_of(r["body"])} for r in table.to_pylist()])
+    return pa.Table.from_pylist([best], schema=table.schema)
+
+
+def _cut_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group_id, record_id) of values that are cut: group_id, record_id, body, other."""
+    for b in batches:
+        out, known = [], ("", [])
+        for r in b.to_pylist():
+            if len(r["other"]) > len(r["body"]):
+                if known[0] != r["body"]:
+                    known = (r["body"], tokens_of(r["body"]))
+                if is_cut({"body": r["body"], "tokens": known[1]}, {"body": r["other"], "tokens": tokens_of(r["other"])}):
+                    out.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in ("group_id", "record_id")], names=["group_id", "record_id"])
 
 
 def notices(bodies: DataFrame, groups: int) -> DataFrame:
@@ -217,16 +266,29 @@ def surviving_abstracts(members: DataFrame, n_groups: int, largest: int) -> Data
 def heaviest(rows: DataFrame) -> DataFrame:
     """What ``survivor`` gives, for groups of any size: (group_id, record_id, body).
 
-    Cut values are found over all rows of the group by the hashes of the beginnings of longer values. Of the others
-    the heaviest outweighs the rest together, so it is the consensus and no alignment is needed."""
+    Values cut without a change are found over all rows of the group by the hashes of the beginnings of longer values. The latest of
+    the others are aligned to all values of their group, ``LEVELS`` retrievals at a time, until each group has a complete one."""
     pieces = F.split("body", _ENDS, -1)
     begun = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.xxhash64(F.array_join(F.slice("p", F.lit(1), k), "")))
     # a text that ends as a sentence ends has an empty last piece: its last beginning is itself
     begun = F.filter(begun, lambda h: h != F.xxhash64("body"))
-    begins = rows.select("group_id", "body", pieces.alias("p")).where(F.size("p") > 1).select("group_id", F.explode(begun).alias("h")).distinct()
-    kept = rows.where("whole").withColumn("h", F.xxhash64("body")).join(begins, ["group_id", "h"], "left_anti")
-    best = F.max_by(F.struct("record_id", "body"), F.struct("retrieved", -F.col("record_id")))
-    return kept.groupBy("group_id").agg(best.alias("b")).select("group_id", "b.record_id", "b.body")
+    begins_with = rows.select("group_id", "body", pieces.alias("p")).where(F.size("p") > 1).select("group_id", F.explode(begun).alias("h")).distinct()
+    kept = rows.where("whole").withColumn("h", F.xxhash64("body")).join(begins_with, ["group_id", "h"], "left_anti").select("group_id", "record_id", "retrieved", "body")
+    kept = cut(kept)
+    latest = Window.partitionBy("group_id").orderBy(F.col("retrieved").desc_nulls_last())
+    others = rows.select("group_id", F.col("body").alias("other"))
+    out = []
+    while not kept.isEmpty():
+        top = cut(kept.withColumn("level", F.dense_rank().over(latest)).where(F.col("level") <= LEVELS))
+        found = top.select("group_id", "record_id", "body").join(others, "group_id").where(F.length("other") > F.length("body"))
+        whole = cut(top.join(found.mapInArrow(_cut_of, "group_id bigint, record_id bigint").distinct(), ["group_id", "record_id"], "left_anti"))
+        first = whole.groupBy("group_id").agg(F.min("level").alias("level"))
+        out.append(whole.join(first, ["group_id", "level"], "left_semi"))
+        kept = cut(kept.join(top.select("group_id", "record_id"), ["group_id", "record_id"], "left_anti").join(first.select("group_id"), "group_id", "left_anti"))
+    schema = "group_id bigint, record_id bigint, body string"
+    if not out:
+        return kept.select("group_id", "record_id", "body")
+    return reduce(DataFrame.unionByName, out).select("group_id", "record_id", "body").groupBy("group_id").applyInArrow(_elect, schema)
 
 
 def prepare(pairs: DataFrame, papers: DataFrame) -> DataFrame:

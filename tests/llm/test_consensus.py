@@ -70,3 +70,18 @@ def test_heaviest_equals_survivor(spark):
         groups.setdefault(r.group_id, []).append(r.asDict())
     want = {(g, s["record_id"]) for g, rs in groups.items() if (s := C.survivor(rs))}
     assert want and {(r.group_id, r.record_id) for r in C.heaviest(df).collect()} == want
+
+
+def test_alignment_decides(spark):
+    body = BODY + " The crews returned in autumn and measured each of the lakes again, with the same result."
+    typo = BODY.replace("twelve", "12")
+    assert not body.startswith(typo)
+    other = [f"Report {k} of another matter that is complete and has little to do with lakes at all, number {k}." for k in range(80)]
+    votes = [BODY.replace("spring", "March"), BODY, BODY.replace("colder", "warmer")]
+    for extra in ([], other):  # small and large groups
+        # an altered beginning of a longer value is cut off, although it is the latest
+        rows = [(1, 1, "CORE", None, body, None, None, 5), (1, 2, "CORE", None, typo, None, None, 20)]
+        # of values retrieved together, the one that the others confirm
+        rows += [(2, 11 + k, "CORE", None, v, None, None, 20) for k, v in enumerate(votes)]
+        rows += [(g, 1000 * g + k, "CORE", None, v.replace("number", f"number {g}"), None, None, 1 + k % 4) for g in (1, 2) for k, v in enumerate(extra)]
+        assert {x for x in data(spark, rows) if x[1] == "abstract"} == {(1, "abstract", 1), (2, "abstract", 12)}
