@@ -10,9 +10,10 @@
    tokens and by each token with another's first letter, and those with initials or a nickname ask for other forms by such keys.
 3. Pairs of a block are compared token by token: equal, nickname of each other, or - once per pair -
    Jaro-Winkler above ``JARO`` and at most two edits; a token may stand for an initial.
-4. Clusters: connected components over pairs of complete forms. A form with initials or a surname only joins a
-   cluster if all complete forms it agrees with lie in that one cluster, because people who share a
-   surname and an initial differ.
+4. Clusters: connected components over pairs of complete forms. A form with initials or a surname only (a surname may have
+   two parts) joins a cluster if all complete forms it agrees with lie in that one cluster, because people who share a
+   surname and an initial differ. Where they lie in several, those that occur in the author list of the same work
+   (same DOI or title) as the form decide.
 
 Results: NULL and blank names and stand-ins for unnamed authors are no spellings. Repeated rows count once. Empty
 tables give an empty table.
@@ -24,11 +25,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identifiers import normalize_doi
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, release
 from .charforms import normalize_strings
 
 JARO = 0.87
@@ -58,10 +60,15 @@ yuki yukiko; zach zachary; zak zachary; zbyszek zbigniew; zhenya yevgeniya; hubi
 _FOLDS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
 
 
+def _umlauts(token: str) -> str:
+    """Written-out umlauts and their plain vowels are one."""
+    return token.replace("oe", "o").replace("ae", "a").replace("ue", "u") if len(token) > 3 else token
+
+
 def _nicknames() -> dict[str, frozenset[str]]:
     out: dict[str, set[str]] = {}
     for pair in NICKNAMES.split(";"):
-        short, full = pair.split()
+        short, full = (_umlauts(t) for t in pair.split())  # as parse() leaves them
         out.setdefault(short, set()).add(full)
     return {k: frozenset(v) for k, v in out.items()}
 
@@ -98,7 +105,7 @@ def parse(spelling: str) -> tuple[str, ...] | None:
         elif len(t) == 1 or (len(t) <= 2 and t.isupper()) or (len(t) == 3 and t.isupper() and mixed):
             initials += [c + "." for c in low]
         else:
-            long.append(low.replace("oe", "o").replace("ae", "a").replace("ue", "u") if len(low) > 3 else low)
+            long.append(_umlauts(low))
     if not long:
         return None
     return (*sorted(long), *sorted(initials))
@@ -270,13 +277,31 @@ def agree(a: tuple[str, ...], b: tuple[str, ...], common, jaro: float = JARO) ->
     return level
 
 
+def spelled_out() -> Column:
+    """The spelling of a row of crossref_authors."""
+    return F.coalesce("name", F.when(F.col("given").isNull(), F.col("family")).otherwise(F.concat("family", F.lit(", "), "given")))
+
+
 def spellings(papers: DataFrame, crossref: DataFrame) -> DataFrame:
     """Distinct spellings exactly as stored."""
     listed = papers.select(F.explode("authors").alias("name"))
-    typed = crossref.select(F.coalesce("name", F.when(F.col("given").isNull(), F.col("family")).otherwise(F.concat("family", F.lit(", "), "given"))).alias("name"))
+    typed = crossref.select(spelled_out().alias("name"))
     return listed.unionByName(typed).where("trim(name) <> ''").distinct()
 
 
+def occurrences(papers: DataFrame, crossref: DataFrame) -> DataFrame | None:
+    """(spelled, work): hashes of a spelling and of a work, by its DOI and by its title, that lists it. None where the tables name no works."""
+    if "doi" not in papers.columns or "title" not in papers.columns:
+        return None
+    title = F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "")
+    keys = F.array_compact(F.array(F.when(F.col("d").isNotNull(), F.xxhash64(F.lit("d"), "d")), F.when(F.length("t") > 11, F.xxhash64(F.lit("t"), "t"))))
+    works = papers.select(F.explode("authors").alias("name"), normalize_doi("doi").alias("d"), title.alias("t"))
+    if "work_doi" in crossref.columns:
+        typed = crossref.select(spelled_out().alias("name"), normalize_doi("work_doi").alias("d"), F.lit(None).cast("string").alias("t"))
+        works = works.unionByName(typed)
+    return works.where("trim(name) <> ''").select(F.xxhash64("name").alias("spelled"), F.explode(keys).alias("work"))
+
+
 def forms(names: DataFrame) -> DataFrame:
     """(name, form): form is the tokens joined by blanks."""
 
@@ -357,22 +382,35 @@ def clusters(papers: DataFrame, crossref: DataFrame) -> DataFrame:
     named = cut(forms(spellings(papers, crossref)).withColumn("id", F.xxhash64("form")))
     form = named.select("id", "form").distinct()
     edges = cut(links(form))
-    is_full = (F.size(F.filter(F.split("form", " "), lambda t: ~F.endswith(t, F.lit(".")))) >= 2).alias("full")
-    info = form.select("id", is_full)
-    full = info.where("full").select("id")
-    part = info.where("not full").select("id")
+    n_long = F.size(F.filter(F.split("form", " "), lambda t: ~F.endswith(t, F.lit("."))))
+    info = form.select("id", n_long.alias("n"))
+    # of two forms with several complete tokens that agree by an initial, the one with less of them has a surname of several parts and no given name
+    sizes = [info.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab"]
+    by_initial = edges.where("level = 1").join(sizes[0], "a").join(sizes[1], "b").where("n_a >= 2 and n_b >= 2 and n_a <> n_b")
+    short = cut(by_initial.select(F.when(F.col("n_a") < F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct())
+    full = info.where("n >= 2").select("id").join(short, "id", "left_anti")
+    part = info.where("n < 2").select("id").unionByName(short)
     # complete forms
     strong = edges.where("level = 2").join(full.withColumnRenamed("id", "a"), "a", "left_semi").join(full.withColumnRenamed("id", "b"), "b", "left_semi")
     first = connected_components(strong.select("a", "b").unionByName(full.select(F.col("id").alias("a"), F.col("id").alias("b"))))
     first = first.select(F.col("node").alias("id"), "component")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # incomplete forms whose complete partners all lie in one cluster
-    seen = (
-        both.join(part.withColumnRenamed("id", "a"), "a", "left_semi")
-        .join(first.select(F.col("id").alias("b"), "component"), "b")
-        .groupBy("a")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    )
+    partners = cut(both.join(part.withColumnRenamed("id", "a"), "a", "left_semi").join(first.select(F.col("id").alias("b"), "component"), "b"))
+    reach = lambda rows: rows.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    seen, at = reach(partners), None
+    listed = occurrences(papers, crossref)
+    if listed is not None:
+        # several clusters: partners that a work of the form lists as well decide
+        open_ = partners.join(seen.where("low <> high").select("a"), "a", "left_semi")
+        at = cut(listed.join(named.select(F.xxhash64("name").alias("spelled"), "id"), "spelled").select("id", "work").distinct())
+        together = open_.join(at.withColumnRenamed("id", "a"), "a").join(at.withColumnRenamed("id", "b"), ["b", "work"], "left_semi")
+        told = reach(together).where("low = high").select("a", F.col("low").alias("told"))
+        seen = seen.join(told, "a", "left").select("a", F.coalesce("told", "low").alias("low"), F.coalesce("told", "high").alias("high"))
+    seen = cut(seen)
+    release(partners)
+    if at is not None:
+        release(at)
     attached = seen.where("low = high").select(F.col("a").alias("id"), F.col("low").alias("component"))
     # those without any complete partner cluster among themselves, and follow an attached one
     free = part.join(seen.select(F.col("a").alias("id")), "id", "left_anti")

@@ -61,3 +61,22 @@ def test_spellings_of_a_hot_surname_are_linked(spark):
     c = spark.createDataFrame([], "name string, given string, family string")
     got = {tuple(r) for r in N.variant_pairs(p, c).collect()}
     assert got == {("C. Lijuhenen", "Corvin Lijuhenen"), ("T. H. Lijuhenen", "Thanh Hoa Lijuhenen"), ("Bob Lijuhenen", "Robert Lijuhenen"), ("Gudrun Lijuhenen", "Lijuhenen, Gudrun")}
+
+
+def test_nicknames_of_names_with_two_vowels():
+    for a, b in (("Sam Britarason", "Samuel Britarason"), ("Mike Notosila", "Michael Notosila"), ("Emeka Guvovaoni", "Chukwuemeka Guvovaoni")):
+        assert N.agree(N.parse(a), N.parse(b), frozenset()) == 2, (a, b)
+
+
+def test_surname_of_two_parts_and_works_decide(spark):
+    rows = [
+        (1, ["Zachary Mahobrort-Kubobuak"], None, None), (2, ["Z. Mahobrort-Kubobuak"], None, None),
+        (3, ["Rajendra Malibruak"], "10.1234/one", "On the first of two works"), (4, ["Ragnhild Malibruak"], "10.1234/two", "On the second of two works"),
+        (5, ["Malibruak R"], None, "ON THE FIRST of two works."), (6, ["R. Zosaraadze"], None, None), (7, ["Robert Zosaraadze"], None, None), (8, ["Rosa Zosaraadze"], None, None),
+    ]
+    p = spark.createDataFrame(rows, "record_id bigint, authors array<string>, doi string, title string")
+    c = spark.createDataFrame([("Malibruak, R.", None, None, "https://doi.org/10.1234/ONE")], "name string, given string, family string, work_doi string")
+    got = {frozenset(r) for r in N.variant_pairs(p, c).collect()}
+    one = ["Malibruak R", "Malibruak, R.", "Rajendra Malibruak"]
+    assert got == {frozenset(("Zachary Mahobrort-Kubobuak", "Z. Mahobrort-Kubobuak"))} | {frozenset((a, b)) for a in one for b in one if a < b}
+    assert N.variant_pairs(p.drop("doi"), c.drop("work_doi")).count() == 2  # without works: Mahobrort-Kubobuak, and the spellings of R. Malibruak
