@@ -127,3 +127,20 @@ def test_a_verdict_needs_few_columns_of_the_corpus(spark):
     # letter pairs follow from the title: the corpus is written, and pairs travel, without them
     got, want = (engine.score_candidates(arrivals, q, x).select(*engine.IDENTIFIED) for x in (slim, p))
     assert "n_grams" not in slim.columns and got.count() and not got.exceptAll(want).count() and not want.exceptAll(got).count()
+
+
+def test_lookup_drops_pairs_in_the_join(spark):
+    """Equal to a count over all pairs, also where terms share bits; pairs that share too little aren't moved."""
+    import random
+
+    rnd = random.Random(3)
+    sets = lambda n, most: [(k, rnd.sample([f"w{int(rnd.paretovariate(0.6)) % 900}x{i}" for i in range(60)], rnd.randint(0, most))) for k in range(n)]
+    words = [f"w{k}" for k in range(40)]
+    draw = lambda n, most: [(k, sorted(rnd.sample(words, rnd.randint(0, most)))) for k in range(n)]
+    for asked, records, kw in ((draw(40, 12), draw(150, 30), {"share": 0.5}), (draw(40, 9), draw(150, 20), {"least": 3}), (sets(10, 40), sets(30, 60), {"share": 0.5})):
+        a, r = (spark.createDataFrame(x, f"{i} bigint, terms array<string>") for x, i in ((asked, "aid"), (records, "rid")))
+        found = engine.lookup(a, r, **kw)
+        need = lambda n: max(kw.get("least", 1), -(-n // 2) if "share" in kw else 0)
+        want = {(i, j, len(set(s) & set(t))) for i, s in asked for j, t in records if s and len(set(s) & set(t)) >= need(len(s))}
+        assert {tuple(x) for x in found.collect()} == want
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
