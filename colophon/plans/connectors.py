@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import normalize_openalex_id
-from .engine import lookup
+from .engine import lookup_first
 
 # Most works in one batch of related ids, and most recommendations.
 BATCH, MOST_RECOMMENDED = 50, 100
@@ -65,7 +65,6 @@ def related_works(mains: DataFrame, edges: DataFrame, papers: DataFrame, limit:
     batch = named.select("query_id", normalize_openalex_id("dst_id").alias("openalex_id")).join(ids, "openalex_id").select("query_id", "seq").distinct()
     had = batch.groupBy("query_id").agg(F.count("*").alias("n"))
     short = mains.join(had, "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit)
-    hits = lookup(short.where(F.size("terms") > 0).select(F.col("query_id").alias("aid"), "terms"), papers.select(F.col("seq").alias("rid"), "terms"), 0.5)
-    top = Window.partitionBy("aid").orderBy(F.col("hits").desc(), "rid")
-    more = hits.withColumn("k", F.row_number().over(top)).where(F.col("k") <= min(2 * limit, BATCH)).select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"))
+    more = lookup_first(short.where(F.size("terms") > 0).select(F.col("query_id").alias("aid"), "terms"), papers.select(F.col("seq").alias("rid"), "terms"), 0.5, min(2 * limit, BATCH))
+    more = more.select(F.col("aid").alias("query_id"), F.col("rid").alias("seq"))
     return batch.withColumn("route", F.lit("related")).unionByName(more.join(batch, ["query_id", "seq"], "left_anti").withColumn("route", F.lit("search")))

@@ -144,3 +144,25 @@ def test_lookup_drops_pairs_in_the_join(spark):
         want = {(i, j, len(set(s) & set(t))) for i, s in asked for j, t in records if s and len(set(s) & set(t)) >= need(len(s))}
         assert {tuple(x) for x in found.collect()} == want
     assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lookup_first_equals_brute_force(spark, monkeypatch):
+    """The first of each source, by terms looked up alone or in pairs; equal sets are compared once, however often they come."""
+    import random
+
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(14)]
+    draw = lambda n, most: [sorted(rnd.sample(words, rnd.randint(0, most))) for _ in range(n)]
+    asked, records = draw(25, 9) * 2, draw(60, 9) * 3
+    a = spark.createDataFrame(list(enumerate(asked)), "aid bigint, terms array<string>")
+    r = spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(records)], "rid bigint, side int, terms array<string>")
+    want = set()
+    for i, s in enumerate(asked):
+        for side in (0, 1):
+            hits = [(-len(set(s) & set(t)), j) for j, t in enumerate(records) if j % 2 == side and s and 2 * len(set(s) & set(t)) >= len(s)]
+            want |= {(i, side, j, -h) for h, j in sorted(hits)[:4]}
+    compared, real = [], engine._sharing
+    monkeypatch.setattr(engine, "_sharing", lambda x, y, *more: compared.append((x.count(), y.count())) or real(x, y, *more))
+    for heavy in (None, 0, 5, 1000):
+        assert {tuple(x) for x in engine.lookup_first(a, r, 0.5, 4, ("side",), heavy=heavy).collect()} == want
+    assert set(compared) == {(len({*map(tuple, asked)}), len({*map(tuple, records)}))}
