@@ -166,3 +166,22 @@ def test_lookup_first_equals_brute_force(spark, monkeypatch):
     for heavy in (None, 0, 5, 1000):
         assert {tuple(x) for x in engine.lookup_first(a, r, 0.5, 4, ("side",), heavy=heavy).collect()} == want
     assert set(compared) == {(len({*map(tuple, asked)}), len({*map(tuple, records)}))}
+
+
+def test_similar_pairs_move_codes(spark):
+    """Scores of coded columns equal those of the texts, and no abstract travels with a pair."""
+    from colophon.operators import ranking
+    from colophon.operators.prepare import prefixed, prepare_papers
+
+    rows = [{"title": t, "abstract": a, "keywords": k, "topics": k} for t, a, k in (
+        ("Lichen growth on alpine granite", "Growth of lichens lichens on granite", ["lichens", "granite"]), ("Lichen growth on granite", "", ["granite"]),
+        ("Alpine granite", None, None), ("Granite and lichens", "Granite granite lichens", ["lichens", "Granite walls"]))]
+    slim = ranking.similarity_columns(prepare_papers(papers(spark, rows)).select(F.col("record_id").alias("seq"), *engine.SCORED))
+
+    def scores(x):
+        pairs = prefixed(x, "m_").crossJoin(prefixed(x, "c_"))
+        return sorted(map(tuple, ranking.score_similarity(pairs).select("m_seq", "c_seq", "similarity", "sim_title", "sim_abstract", "sim_keywords", "sim_topics", "relation_bonus").collect()), key=str)
+
+    coded = ranking.coded_columns(slim)
+    assert scores(coded) == scores(slim) and len(scores(slim)) == 16
+    assert {r.abstract for r in coded.collect()} == {"+", "", None}
