@@ -8,6 +8,8 @@
    one of these codes; blocks hold a handful of forms however large the table is. Tokens with very many
    partners (given names, and surnames of many people) make no block of their own; forms of nothing else block by all
    tokens and by each token with another's first letter, and those with initials or a nickname ask for other forms by such keys.
+   Two complete forms go on only if they have as many tokens, given names that can agree and nearly the same letters (``fit_code``): the join drops the rest, so
+   people who merely share a surname or a misspelt given name, whose pairs grow with the square of the table, cost no comparison.
 3. Pairs of a block are compared token by token: equal, nickname of each other, or - once per pair -
    Jaro-Winkler above ``JARO`` and at most two edits; a token may stand for an initial.
 4. Clusters: connected components over pairs of complete forms. A form with initials or a surname only (a surname may have
@@ -22,9 +24,11 @@ tables give an empty table.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +78,7 @@ def _nicknames() -> dict[str, frozenset[str]]:
 
 
 _NICK = _nicknames()
+_NICK_WORDS = frozenset(_NICK).union(*_NICK.values())
 _SPLIT = re.compile(r"[^\w]+|_+|\d+")
 _MARKS = re.compile("[̀-ͯ]")
 
@@ -205,6 +210,13 @@ def edits(a: str, b: str) -> int:
     return prev[-1]
 
 
+def _typo(a: str, b: str, jaro: float = JARO) -> float | None:
+    """How near two tokens are that may be a typing error apart."""
+    if min(len(a), len(b)) >= 4 and edits(a, b) <= (1 if min(len(a), len(b)) < 6 else 2) and (s := jaro_winkler(a, b)) >= jaro:
+        return s
+    return None
+
+
 def _same_given(a: str, b: str) -> bool:
     return bool(_NICK.get(a, frozenset((a,))) & _NICK.get(b, frozenset((b,))))
 
@@ -234,8 +246,8 @@ def agree(a: tuple[str, ...], b: tuple[str, ...], common, jaro: float = JARO) ->
         pair = None
         for t in rest_a:
             for u in rest_b:
-                if min(len(t), len(u)) >= 4 and not (t in common and u in common) and not (t in _NICK and u in _NICK):
-                    if edits(t, u) <= (1 if min(len(t), len(u)) < 6 else 2) and (s := jaro_winkler(t, u)) >= jaro and (pair is None or s > pair[0]):
+                if not (t in common and u in common) and not (t in _NICK and u in _NICK):
+                    if (s := _typo(t, u, jaro)) is not None and (pair is None or s > pair[0]):
                         pair = (s, t, u)
         if pair is None:
             # one name in full against another in full: only initials may bridge, and not on both sides
@@ -277,6 +289,38 @@ def agree(a: tuple[str, ...], b: tuple[str, ...], common, jaro: float = JARO) ->
     return level
 
 
+def fit_code(form: tuple[str, ...], common: frozenset[str] | set[str], cache: dict[str, int] | None = None) -> int:
+    """0 for forms with initials or a single token. Of the others, from the lowest bit: how many tokens (4 bits) and given names (4; common ones, or words of
+    the nickname table) they have, whether one is a nickname (1), their length (6), 16 bits of the given names, of what these are short for and of rare given
+    names a typing error away, and for 32 classes of letters whether their number is odd."""
+    if len(form) < 2 or any(t[-1] == "." for t in form):
+        return 0
+    cache = {} if cache is None else cache
+    bits, odd, given = 0, 0, [t for t in form if t in common or t in _NICK_WORDS]
+    for t in given:
+        if t not in cache:
+            # two common names never count as a typing error, so the rare ones suffice
+            alike = {t, *_NICK.get(t, ()), *(v for v in _NICK_WORDS if v not in common and (_typo(t, v) or _typo(v, t)))}
+            cache[t] = sum({1 << zlib.crc32(x.encode()) % 16 for x in alike})
+        bits |= cache[t]
+    for ch in "".join(form):
+        odd ^= 1 << ord(ch) % 32
+    code = odd << 31 | bits << 15 | min(sum(map(len, form)), 63) << 9 | any(t in _NICK for t in form) << 8 | min(len(given), 15) << 4 | min(len(form), 15)
+    return code
+
+
+def fits(a: str = "fit_a", b: str = "fit_b") -> str:
+    """Whether two forms can agree by their ``fit_code``. Tokens of complete forms agree one by one, but for one pair a typing error apart: so there are as many,
+    given names (equal, or nicknames) agree with given names, and at most one of them with another token, misspelt. Without nicknames two edits are all that
+    differs, and each changes the length by one and the number of letters of two classes at most."""
+    part = lambda c, shift, mask: f"(shiftright({c}, {shift}) & {mask})"
+    n, m = (part(c, 0, 15) for c in (a, b))
+    p, q = (part(c, 4, 15) for c in (a, b))
+    given = f"if({p} = {q}, {p} = 0 or {part(f'{a} & {b}', 15, 65535)} <> 0, abs({p} - {q}) = 1)"
+    letters = f"({part(f'{a} | {b}', 8, 1)} = 1 or (abs({part(a, 9, 63)} - {part(b, 9, 63)}) <= 2 and bit_count(shiftright({a} ^ {b}, 31)) <= 4))"
+    return f"({n} = 0 or {m} = 0 or ({n} = {m} and {given} and {letters}))"
+
+
 def spelled_out() -> Column:
     """The spelling of a row of crossref_authors."""
     return F.coalesce("name", F.when(F.col("given").isNull(), F.col("family")).otherwise(F.concat("family", F.lit(", "), "given")))
@@ -315,36 +359,47 @@ def forms(names: DataFrame) -> DataFrame:
     return names.mapInArrow(run, "name string, form string")
 
 
+def meetings(form: DataFrame, common: Broadcast[frozenset[str]]) -> DataFrame:
+    """Pairs of forms (id_a, form_a, id_b, form_b) that share a block and can agree."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        cache: dict[str, int] = {}
+        for b in batches:
+            ids, texts, codes, own, fit = [], [], [], [], []
+            for i, text in zip(b.column("id").to_pylist(), b.column("form").to_pylist()):
+                tokens = tuple(text.split(" "))
+                code_of_fit = fit_code(tokens, common.value, cache)
+                for k, code in block_keys(tokens, common.value):
+                    ids.append(i)
+                    texts.append(text)
+                    fit.append(code_of_fit)
+                    codes.append(xxhash.xxh64_intdigest(k) - (1 << 63))
+                    own.append(None if code is None else xxhash.xxh32_intdigest(code) - (1 << 31))
+            arrays = [pa.array(codes, pa.int64()), pa.array(own, pa.int32()), pa.array(fit, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "code", "fit", "id", "form"])
+
+    rows = form.mapInArrow(keys, "key bigint, code int, fit bigint, id bigint, form string")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("code", "fit", "id", "form")]) for s in "ab")
+    return a.join(b, "key").where(f"id_a < id_b and (code_a is null or code_a <> code_b) and {fits()}").select("id_a", "form_a", "id_b", "form_b")
+
+
 def links(form: DataFrame) -> DataFrame:
     """(a, b, level) of agreeing forms; form: id, form."""
     spark = form.sparkSession
     token = F.explode(F.array_distinct(F.filter(F.split("form", " "), lambda t: (F.length(t) >= 3) & ~F.endswith(t, F.lit(".")))))
     exploded = form.select("id", token.alias("token"))
     pair = exploded.join(exploded.withColumnRenamed("token", "partner"), "id").where("token <> partner").select("token", "partner").distinct()
-    degree = pair.groupBy("token").agg(F.count("*").alias("n"))
+    degree = cut(pair.groupBy("token").agg(F.count("*").alias("n")))
     top = degree.agg(F.max("n")).first()[0] or 0
     # given names are few; the bound keeps the broadcast small whatever the table holds
     rows = degree.where(F.col("n") >= max(PARTNERS, int(top * PARTNER_SHARE))).select("token").limit(200_001).collect()
+    release(degree)
     if len(rows) > 200_000:
         raise ValueError("too many common tokens; raise PARTNER_SHARE")
     common = spark.sparkContext.broadcast(frozenset(r["token"] for r in rows))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            ids, texts, codes, own = [], [], [], []
-            for i, text in zip(b.column("id").to_pylist(), b.column("form").to_pylist()):
-                for k, code in block_keys(tuple(text.split(" ")), common.value):
-                    ids.append(i)
-                    texts.append(text)
-                    codes.append(xxhash.xxh64_intdigest(k) - (1 << 63))
-                    own.append(None if code is None else xxhash.xxh32_intdigest(code) - (1 << 31))
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(own, pa.int32()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["key", "code", "id", "form"])
-
-    rows = form.mapInArrow(keys, "key bigint, code int, id bigint, form string")
-    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("code", "id", "form")]) for s in "ab")
-    near = a.join(b, "key").where("id_a < id_b and (code_a is null or code_a <> code_b)").select("id_a", "form_a", "id_b", "form_b")
+    near = meetings(form, common)
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

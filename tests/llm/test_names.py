@@ -80,3 +80,35 @@ def test_surname_of_two_parts_and_works_decide(spark):
     one = ["Malibruak R", "Malibruak, R.", "Rajendra Malibruak"]
     assert got == {frozenset(("Zachary Mahobrort-Kubobuak", "Z. Mahobrort-Kubobuak"))} | {frozenset((a, b)) for a in one for b in one if a < b}
     assert N.variant_pairs(p.drop("doi"), c.drop("work_doi")).count() == 2  # without works: Mahobrort-Kubobuak, and the spellings of R. Malibruak
+
+
+def test_pairs_that_cannot_agree_end_in_the_join(spark):
+    """People who share a surname, or a misspelt given name, are no pairs; typing errors, nicknames and initials are."""
+    common = frozenset("william mary johannes ursula zachary".split())
+    listed = ["harperton mary", "harperton william", "bill harperton", "harpertn william", "harperton w.", "harperton ursula", "kalimero wiliam", "wiliam zubrowski", "harperton ursulla"]
+    form = spark.createDataFrame(list(enumerate(listed)), "id bigint, form string")
+    got = {frozenset((r.form_a, r.form_b)) for r in N.meetings(form, spark.sparkContext.broadcast(common)).collect()}
+    want = {frozenset((a, b)) for a in listed for b in listed if a != b and N.agree(tuple(a.split(" ")), tuple(b.split(" ")), common)}
+    assert want <= got and len(want) == 7
+    for a, b in (("harperton mary", "harperton william"), ("harperton william", "harperton ursula"), ("kalimero wiliam", "wiliam zubrowski")):
+        assert frozenset((a, b)) not in got, (a, b)
+
+
+def test_pairs_that_agree_always_fit(spark):
+    rnd, common = random.Random(7), frozenset("william mary johannes ursula zachary alexander dmitri".split())
+    words = [*common, *sorted(N._NICK_WORDS)[::5], "harperton", "zubrowski", "kalimero", "dostanov", "anna", "anne", "lue"]
+    pairs = []
+    for _ in range(6000):
+        a = [rnd.choice(words) for _ in range(rnd.randint(2, 4))]
+        b = [rnd.choice(sorted(N._NICK.get(t, (t,)))) for t in a]
+        i = rnd.randrange(len(b))
+        for _ in range(rnd.randrange(3)):
+            t, k = b[i], rnd.randrange(1, len(b[i]))
+            b[i] = rnd.choice([t[:k] + t[k + 1 :], t[:k] + rnd.choice("aeklo") + t[k:], t[: k - 1] + t[k] + t[k - 1] + t[k + 1 :]])
+            if len(b[i]) < 2:
+                break
+        a, b = tuple(sorted(a)), tuple(sorted(b))
+        if N.agree(a, b, common) or N.agree(b, a, common):
+            pairs.append((N.fit_code(a, common), N.fit_code(b, common)))
+    assert len(pairs) > 3000 and all(x >= 0 for p in pairs for x in p)
+    assert spark.createDataFrame(pairs, "fit_a bigint, fit_b bigint").where(f"not {N.fits()}").count() == 0
